@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("simhash",)
+MODULES = ("simhash", "warc", "line_dedup")
 
 
 def gather() -> tuple[dict, dict]:
