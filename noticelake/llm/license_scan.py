@@ -76,8 +76,8 @@ def _labelled(label: str):
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """(did, block, w): the distinct words of each line that has any."""
-    lines = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-    return lines.select("did", "block", F.array_distinct(words(F.col("line"))).alias("w")).where(F.size("w") > 0)
+    lines = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), F.posexplode_outer(F.split("text", "\n", -1)).alias("block", "line"))
+    return lines.select("did", "block", F.array_distinct(words(F.col("line"))).alias("w"))
 
 
 def similar_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -88,7 +88,7 @@ def similar_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError(f"the templates have {len(vocabulary)} words; at most {MAX_VOCABULARY} are allowed")
     known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
-    in_blocks = _blocks(docs).select(F.explode("w").alias("word")).join(known, "word").groupBy("word").count()
+    in_blocks = _blocks(docs).select(F.explode_outer("w").alias("word")).join(known, "word").groupBy("word").count()
     count = {r["word"]: r["count"] for r in in_blocks.collect()}  # one row a template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     prefixes = []
@@ -97,7 +97,7 @@ def similar_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
         need = ceil(threshold * len(ordered) - 1e-9)
         prefixes += [(w, at, label, ordered, need) for at, w in enumerate(ordered[: len(ordered) - need + 1])]
     index = F.broadcast(spark.createDataFrame(prefixes, "word string, at int, label string, tokens array<string>, need int"))
-    met = _blocks(docs).withColumn("word", F.explode("w")).join(index, "word").where(F.size("w") >= F.col("need"))
+    met = _blocks(docs).select("*", F.explode_outer("w").alias("word")).join(index, "word").where(F.size("w") >= F.col("need"))
     shared = F.array_intersect("tokens", "w")  # in the order of `tokens`
     met = met.withColumn("shared", shared)
     first = F.element_at("shared", 1) == F.col("word")  # a pair once, at its first shared word

@@ -32,9 +32,10 @@ def _lines(text: Column) -> Column:
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, key hash) of every line that a document loses, once per document."""
     keys = F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
-    held = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), F.explode(F.array_distinct(keys)).alias("key")
-    ).select("did", _hash(F.col("key")).alias("h"))
+    held = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), F.array_distinct(keys).alias("keys"))
+    # the outer form keeps Spark from filtering by the array's size, which would compute it twice
+    held = held.select("did", F.explode_outer("keys").alias("key")).where(F.col("key").isNotNull())
+    held = held.select("did", _hash(F.col("key")).alias("h"))
     spread = held.groupBy("h").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
     return held.join(spread, "h").where("did > first").select("did", "h")
 

@@ -139,7 +139,7 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], radius: int = RADIU
         index.append(F.struct(F.lit(part).alias("part"), own.alias("key")))
         probe.append(F.transform(flips, partial(_variant, part, own)))
     right = fps.select(F.col("fp").alias("b"), F.explode(F.array(*index)).alias("k")).select("b", "k.part", "k.key")
-    left = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*probe)).alias("k")).select("a", "k.part", "k.key")
+    left = fps.select(F.col("fp").alias("a"), F.explode_outer(F.concat(*probe)).alias("k")).select("a", "k.part", "k.key")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     found = left.alias("l").join(right.alias("r"), (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & near)
     return found.select("a", "b").distinct()
