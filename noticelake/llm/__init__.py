@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("simhash", "warc", "line_dedup", "decontaminate", "url_filter", "license_scan", "packing")
+MODULES = ("simhash", "warc", "langid", "line_dedup", "decontaminate", "url_filter", "quality", "license_scan", "packing")
 
 
 def gather() -> tuple[dict, dict]:
