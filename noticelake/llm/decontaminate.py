@@ -8,7 +8,7 @@ to one: what is equal on one side is equal on the other.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 WINDOW = 8
 #: A benchmark window with fewer words that are no placeholders is not looked for.
@@ -31,20 +31,22 @@ def _template(raw: Column) -> Column:
         digit = (x >= "0") & (x < ":")
         after = F.get(raw, i - 1)
         low = F.lower(x)
-        unit = low.isin(*UNITS) & (i > 0) & (after >= "0") & (after < ":")
+        unit = (i > 0) & (after >= "0") & (after < ":") & low.isin(*UNITS)
         return F.when(digit, "<num>").when(x.startswith(_NAME), "<name>").when(unit, "<unit>").otherwise(low)
 
     return F.transform(raw, kind)
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows (raw, tok) and one row a window: pos, h."""
+    """rows (raw, tok) and one row a window: pos, h.
 
-    def hashed(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.xxhash64(*[F.get("tok", i + k) for k in range(window)]).alias("h"))
-
-    every = F.transform(F.sequence(F.lit(0), F.size("tok") - window), hashed)
-    return rows.where(F.size("tok") >= window).withColumn("w", F.explode(every)).select("*", "w.pos", "w.h").drop("w")
+    The hashes are a column before they are exploded: the explosion then compiles together with the join
+    that follows, and the arrays beside it aren't copied for each window. The outer form keeps Spark from
+    filtering by the array's size, which would compute it twice.
+    """
+    every = F.transform(F.sequence(F.lit(0), F.size("tok") - window), lambda i: F.xxhash64(*[F.get("tok", i + k) for k in range(window)]))
+    hashed = rows.withColumn("hs", F.when(F.size("tok") >= window, every))
+    return hashed.select(*rows.columns, F.posexplode_outer("hs").alias("pos", "h")).where(F.col("h").isNotNull())
 
 
 def _same_slots(a: Column, b: Column, ta: Column, tb: Column, window: int) -> Column:
@@ -81,7 +83,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     found = _windows(_tokens(docs, "doc_id"), window).join(bench, "h")
     found = found.select(
         "doc_id", "item_id", "pos", "b_raw", "b_tok", F.slice("raw", F.col("pos") + 1, window).alias("d_raw"), F.slice("tok", F.col("pos") + 1, window).alias("d_tok")
-    ).where(_same_slots(F.col("d_raw"), F.col("b_raw"), F.col("d_tok"), F.col("b_tok"), window))
+    )
+    found = saved(found, "windows")  # apart, so that the join compares hashes alone
+    found = found.where(_same_slots(F.col("d_raw"), F.col("b_raw"), F.col("d_tok"), F.col("b_tok"), window))
     exact = F.transform("d_raw", lambda x: F.lower(x)) == F.transform("b_raw", lambda x: F.lower(x))
     places = found.groupBy("doc_id", "item_id", "pos").agg(F.max(exact).alias("exact"))
     return places.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.count_if("exact").alias("n_exact"))
