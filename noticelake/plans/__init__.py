@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("search",)
+MODULES: tuple[str, ...] = ("search", "page_queries")
 
 
 def gather(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:
