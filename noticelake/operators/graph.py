@@ -65,5 +65,5 @@ def sweep_candidates(spark: SparkSession, discovered: DataFrame, last: int = MAX
 
 def probe_candidates(ranges: DataFrame, configured: DataFrame) -> DataFrame:
     """(school, category) of fixed ranges (school, first, last) and of the configured lists, once each."""
-    probed = ranges.select("school", F.explode(F.sequence("first", "last")).cast("long").alias("category"))
+    probed = ranges.select("school", F.explode(F.sequence(F.col("first").cast("long"), F.col("last").cast("long"))).alias("category"))
     return probed.union(configured.select("school", F.col("category").cast("long"))).distinct()
