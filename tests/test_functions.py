@@ -44,7 +44,7 @@ def test_small_expressions(spark):
     assert one(spark, X.parse_timestamp(F.col("t")), t="2024-01-01T08:00:00+08:00") == one(spark, X.parse_timestamp(F.col("t")), t="2024-01-01T00:00:00Z")
     assert one(spark, X.page_label(F.lit("7"), F.col("c")), c="12") == "403-7-12"
     assert one(spark, X.page_label(F.lit("7"), F.col("c")), c="412-7-3") == "412-7-3"
-    assert one(spark, X.feed_escape(F.col("t")), t="a,b;c\\d\ne") == "a\\,b\;c\\\\d\\ne"
+    assert one(spark, X.feed_escape(F.col("t")), t="a,b;c" + chr(92) + "d\ne") == r"a\,b\;c\\d\ne"
     assert one(spark, X.canonical_map_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))) == '{"a":2,"b":1}'
     assert one(spark, X.hours_since(F.lit(None).cast("timestamp"), F.current_timestamp())) == float("inf")
 
