@@ -5,15 +5,17 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import NOTIFIED_KEPT
 from ..functions.text import empty_as_null
+from .routing import keyword_match
 
 
-def notify_candidates(items: DataFrame, subscriptions: DataFrame, state: DataFrame, broadcast_subscriptions: bool = False) -> DataFrame:
+def notify_candidates(items: DataFrame, subscriptions: DataFrame, state: DataFrame) -> DataFrame:
     """(subscriber, id, first_seen): items to deliver, once for each subscriber.
 
     items: id, first_seen, text. subscriptions: subscriber, keyword, created_at. state: subscriber, notified_ids,
     notified_through. An item counts if it was first seen strictly after both the subscription and the watermark,
     isn't among the ids kept as notified, and has the keyword in its text. Rows at or before the watermark are
-    late for good, also when their id is no longer kept.
+    late for good, also when their id is no longer kept. Texts are matched with distinct keywords first, and
+    subscribers join by keyword.
     """
     held = subscriptions.join(state, "subscriber", "left")
     bound = F.greatest("created_at", "notified_through")
@@ -21,8 +23,9 @@ def notify_candidates(items: DataFrame, subscriptions: DataFrame, state: DataFra
         "subscriber", F.lower(F.trim("keyword")).alias("keyword"), bound.alias("bound"), "notified_ids"
     )
     fresh = items.where(empty_as_null(F.col("id")).isNotNull() & F.col("first_seen").isNotNull())
-    side = F.broadcast(asked) if broadcast_subscriptions else asked
-    met = fresh.join(side, (F.col("first_seen") > F.col("bound")) & F.contains(F.lower("text"), F.col("keyword")))
+    texts = fresh.select("id", "first_seen", F.lower("text").alias("text"))
+    hits = keyword_match(texts, asked.select("keyword").distinct(), ("id", "first_seen"))
+    met = hits.join(asked, "keyword").where(F.col("first_seen") > F.col("bound"))
     kept = F.coalesce("notified_ids", F.array().cast("array<string>"))
     return met.where(~F.array_contains(kept, F.col("id"))).groupBy("subscriber", "id").agg(F.min("first_seen").alias("first_seen"))
 

@@ -117,8 +117,9 @@ def known_flag(evaluated: DataFrame, configured: DataFrame) -> DataFrame:
 
 def exclude_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
     """Pages (page, name, only_common, exclusive) without an excluded word (word) in their name, with items of their own."""
-    named = pages.join(F.broadcast(words.limit(BROADCAST_KEYWORDS)), F.contains("name", F.col("word")), "left_anti")
-    return named.where(~F.col("only_common") & (F.col("exclusive") > 0))
+    own = pages.where(~F.col("only_common") & (F.col("exclusive") > 0))
+    named = keyword_match(own.select("page", F.lower("name").alias("text")), words.select(F.col("word").alias("keyword")), "page")
+    return own.join(named.select("page"), "page", "left_anti")
 
 
 def classify_by_table(items: DataFrame, rules: DataFrame, text: Column, key: str = "id") -> DataFrame:
@@ -135,25 +136,25 @@ def _grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))))
 
 
-def keyword_match(texts: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
-    """(key, the columns of keywords) wherever the lower-cased keyword (trimmed, not blank) is a substring of `text`.
+def keyword_match(texts: DataFrame, keywords: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """(key columns, the columns of keywords) wherever the lower-cased keyword (trimmed, not blank) is a substring of `text`.
 
     Up to BROADCAST_KEYWORDS rows the keywords are broadcast; beyond, text and keyword meet in the keyword's
-    rarest 3-gram, so each pair is compared once at most. Keywords of fewer characters are always broadcast.
+    rarest 3-gram, so each pair is compared once at most. Keywords of one or two characters have none and are
+    compared with every text.
     """
     words = keywords.withColumn("keyword", F.lower(F.trim("keyword"))).where("keyword <> ''").distinct()
-    kept = [key, *words.columns]
+    keys = [key] if isinstance(key, str) else list(key)
+    kept = [*keys, *words.columns]
+    found = F.contains("text", F.col("keyword"))
     if words.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS:
-        return texts.join(F.broadcast(words), F.contains("text", F.col("keyword"))).select(*kept)
-    short = words.where(F.length("keyword") < 3)
-    long = words.where(F.length("keyword") >= 3)
-    text_grams = texts.where(F.length("text") >= 3).select(key, "text", F.explode(_grams(F.col("text"))).alias("gram"))
+        return texts.join(F.broadcast(words), found).select(*kept)
+    text_grams = texts.where(F.length("text") >= 3).select(*keys, "text", F.explode(_grams(F.col("text"))).alias("gram"))
     common = text_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    grams = long.withColumn("gram", F.explode(_grams(F.col("keyword")))).join(common, "gram", "left")
+    grams = words.where(F.length("keyword") >= 3).withColumn("gram", F.explode(_grams(F.col("keyword")))).join(common, "gram", "left")
     rare = first_by(grams, words.columns, F.coalesce("n", F.lit(0)), F.col("gram")).drop("n")
-    met = text_grams.join(rare, "gram").where(F.contains("text", F.col("keyword"))).select(*kept)
-    few = texts.join(F.broadcast(short.limit(BROADCAST_KEYWORDS)), F.contains("text", F.col("keyword"))).select(*kept) if short.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS else texts.join(short, F.contains("text", F.col("keyword"))).select(*kept)
-    return met.unionAll(few)
+    met = text_grams.join(rare, "gram").where(found).select(*kept)
+    return met.unionAll(texts.join(words.where(F.length("keyword") < 3), found).select(*kept))
 
 
 def subscription_match(items: DataFrame, subscriptions: DataFrame, text: Column, key: str = "id") -> DataFrame:
@@ -171,7 +172,7 @@ def personal_topics(items: DataFrame, subscriptions: DataFrame, topic: str, text
 
 def topic_routing(items: DataFrame, slugs: DataFrame, subscriptions: DataFrame, topic: str, text: Column, key: str = "id") -> DataFrame:
     """(key, topic): all items to the topic and to that of their category (category, slug), matched ones to personal topics."""
-    named = items.withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))).join(F.broadcast(slugs.limit(BROADCAST_KEYWORDS)), "category", "left")
+    named = items.withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))).join(slugs, "category", "left")
     slug = F.concat(F.lit(f"{topic}-"), F.coalesce("slug", F.lit(DEFAULT_SLUG)))
     fixed = named.select(key, F.explode(F.array(F.lit(topic), slug)).alias("topic"))
     return fixed.union(personal_topics(items, subscriptions, topic, text, key)).distinct()
