@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extract, graph, quality
+from ..operators import extract, graph, quality, routing
 from .views import clean_sql, strip_sql, table, unescape_sql
 
 #: Every link text of the test pages is on 4 pages or more; common ones are on so many.
@@ -116,7 +116,44 @@ def site_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(edges, pairs.agg(F.concat(F.lit("s"), F.min("l_suppkey")).alias("node")), 3)
 
 
+def outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as numbered navigation links of one page a region."""
+    n = table(spark, sf_dir, "nation")
+    link = F.concat(F.lit("<a href='/n"), "n_nationkey", F.lit("'> "), "n_regionkey", F.lit("-"), "n_nationkey", F.lit(" . "), "n_name", F.lit("行事曆</a><a href='/x'>plain</a>"))
+    found = extract.outline_rows(n.select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("http://h/").alias("url"), link.alias("html")))
+    return found.select("page_id", "outline", "label", "href", "is_calendar")
+
+
+def raw_category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers as raw list links, second pages as first ones, and configured lists."""
+    p, n = table(spark, sf_dir, "pages"), F.regexp_extract("url", r"/(\d+)", 1)
+    html = F.concat(F.lit('<a href="/p/403-1-'), n, F.lit('-2.php?x">'), "html")
+    configured = table(spark, sf_dir, "supplier").select(F.concat(F.lit("http://h/p/403-1-"), "s_suppkey", F.lit("-1.php")).alias("url"))
+    return extract.raw_category_links(p.select("url", html.alias("html")), configured)
+
+
+def tab_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers as tabs of their page."""
+    p, n = table(spark, sf_dir, "pages"), F.regexp_extract("url", r"/(\d+)", 1)
+    html = F.concat(F.lit("<a href='#t'>Tab "), n, F.lit('</a><div id="t">open("?Type=mobile_rcg_mstr&Nbr='), n, F.lit('")</div>'), "html")
+    rows = p.select("page_id", "url", html.alias("html"))
+    found = extract.tab_links(rows, F.lit("7")).select("page_id", "label", "number", "list_url")
+    return found.join(rows.select("page_id", F.array_join(extract.tab_numbers(F.col("html")), ",").alias("numbers")), "page_id")
+
+
+def gap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and path numbers in the order of a report."""
+    p = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"/(\d+)", 1).alias("category"))
+    return routing.gap_order(p)
+
+
+def sample_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8."""
+    return routing.sample_common(quality.common_titles(_titles(spark, sf_dir), COMMON_PAGES))
+
+
 QUERIES = {f.__name__: f for f in (
+    outline_rows, raw_category_links, tab_links, gap_order, sample_common,
     page_titles, page_snippets, article_bodies, page_structure, extract_links, first_links, article_links, same_site_links, common_titles, page_sample, page_stats,
     menu_links, article_dates, near_dates, site_reachability,
 )}
@@ -130,7 +167,14 @@ _RESOLVED = "CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN hr
 _BARE = r"regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>', ' ', 'gis')"
 _NUM = r"regexp_extract(url, '/(\d+)', 1)"
 _DAY = "(DATE '2024-04-01' + CAST(page_id % 100 AS INTEGER))"
+_ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 ORACLE_SQL = {
+    "outline_rows": """SELECT CAST(n_nationkey AS BIGINT) AS page_id, n_regionkey || '-' || n_nationkey AS outline, n_name || '行事曆' AS label, '/n' || n_nationkey AS href, true AS is_calendar FROM nation
+UNION ALL SELECT n_nationkey, '', 'plain', '/x', false FROM nation""",
+    "raw_category_links": f"SELECT {_ORIGIN} || '/p/403-1-' || {_NUM} || '-1.php' AS url FROM pages UNION SELECT 'http://h/p/403-1-' || s_suppkey || '-1.php' FROM supplier",
+    "tab_links": f"SELECT page_id, 'Tab ' || {_NUM} AS label, {_NUM} AS number, {_ORIGIN} || '/p/403-7-' || {_NUM} || '-1.php' AS list_url, {_NUM} AS numbers FROM pages",
+    "gap_order": f"SELECT url, {_NUM} AS category FROM pages",
+    "sample_common": f"WITH {_LINKS} SELECT label AS title, count(DISTINCT page_id) AS pages FROM l GROUP BY 1 HAVING count(DISTINCT page_id) >= {COMMON_PAGES} ORDER BY title LIMIT 10",
     "page_titles": f"""SELECT page_id, trim(list_last(string_split({_TITLE}, '>'))) AS title, {strip_sql(r"regexp_extract(html, '<h1\b[^>]*>(.*?)</h1\s*>', 1, 'is')")} AS article_title FROM pages""",
     "page_snippets": f"""SELECT page_id, left({strip_sql("CASE WHEN art <> '' THEN art ELSE bare END")}, 1000) AS snippet
 FROM (SELECT page_id, bare, regexp_extract(bare, '<article\\b[^>]*>(.*?)</article\\s*>', 1, 'is') AS art FROM (SELECT page_id, {_BARE} AS bare FROM pages))""",

@@ -251,7 +251,42 @@ def stream_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/deliveries").groupBy("subscriber").agg(F.count("*").alias("n"))
 
 
+def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One owner's mutations as file drops, applied up to each user's first error."""
+    work = _work(spark)
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("account_id"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), "event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
+    owner = rows.agg(F.min("account_id")).first()[0]
+    rows.where(F.col("account_id") == owner).coalesce(1).write.parquet(f"{work}/in")
+    runs.drain_outbox(spark.readStream.schema(rows.schema).parquet(f"{work}/in"), owner, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out").select("account_id", "seq", "id")
+
+
+def merge_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two devices' subscriptions, reads and preferences of users, merged; rows by kind."""
+    e = table(spark, sf_dir, "events")
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+    def device(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        user = F.col("user_id").cast("string").alias("user_id")
+        gone = F.when(F.col("event_type") == "error", when).alias("deleted_at")
+        subs = rows.select(user, F.col("event_type").alias("keyword"), F.lit(None).cast("string").alias("normalized_keyword"), when.alias("created_at"), when.alias("updated_at"), gone)
+        reads = rows.select(user, F.col("event_type").alias("announcement_id"), when.alias("read_at"))
+        return subs, reads, rows.select(user, F.lit(1).alias("schema_version"), F.col("props").alias("preferences"), when.alias("updated_at"))
+
+    clicks = F.col("event_type") == "click"
+    subs, reads, prefs = merge.merge_account(device(e.where(clicks)), device(e.where(~clicks)))
+    kinds = [subs.select(F.lit("subscription").alias("kind"), "user_id", F.col("updated_at").alias("at")), reads.select(F.lit("read"), "user_id", "read_at"), prefs.select(F.lit("preferences"), "user_id", "updated_at")]
+    return kinds[0].union(kinds[1]).union(kinds[2]).groupBy("kind", "user_id").agg(F.count("*").alias("n"), F.max("at").alias("latest"))
+
+
+def union_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part sizes and supplier nations as discovered categories."""
+    return graph.union_discovered(table(spark, sf_dir, "part").select(F.col("p_size").alias("category")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("category")))
+
+
 QUERIES = {f.__name__: f for f in (
+    stream_outbox, merge_account, union_discovered,
     subscription_match, benchmark_match, topic_routing, personal_topics, flood_summary, delivery_plan, page_overlap, coverage_ratio, coverage_gaps, census_summary, run_metrics, constraints,
     sweep_candidates, probe_candidates, known_flag, preflight_candidates, exclude_pages, cascade_delete, hierarchy_path, feed_rows, public_events, events_on, item_events, calendar_month,
     notify_candidates, advance_watermark, migrate_state, supersede, stream_dedupe, stream_notify,
@@ -265,6 +300,13 @@ _EV = "ev AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderdate AS d
 _NOTIFY = """u AS (SELECT user_id, min(ts) AS created, max(CASE WHEN event_type = 'signup' THEN ts END) AS through, arg_max(event_id, ts) AS last FROM events GROUP BY 1),
 c AS (SELECT u.user_id, 'e' || event_id AS id, ts FROM u, events e WHERE e.event_type = 'purchase' AND e.ts > greatest(created, coalesce(through, created)) AND e.event_id <> u.last)"""
 ORACLE_SQL = {
+    "stream_outbox": """WITH o AS (SELECT min(CAST(user_id AS VARCHAR)) AS u FROM events), e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
+OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f FROM events WHERE CAST(user_id AS VARCHAR) = (SELECT u FROM o))
+SELECT CAST(user_id AS VARCHAR) AS account_id, event_id AS seq, 'm' || event_id AS id FROM e WHERE f = 0""",
+    "merge_account": """WITH k AS (SELECT DISTINCT user_id, event_type FROM events), t AS (SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS latest FROM events GROUP BY 1),
+c AS (SELECT user_id, count(*) AS n FROM k GROUP BY 1)
+SELECT kind, CAST(c.user_id AS VARCHAR) AS user_id, CASE WHEN kind = 'preferences' THEN 1 ELSE n END AS n, latest FROM c JOIN t ON c.user_id = t.user_id, (VALUES ('subscription'), ('read'), ('preferences')) v(kind)""",
+    "union_discovered": "SELECT p_size AS category FROM part UNION SELECT s_nationkey FROM supplier",
     "subscription_match": f"WITH {ANN}, {_GROUPS_SQL} SELECT DISTINCT id, name FROM ann, g WHERE contains({_TEXT}, keyword)",
     "benchmark_match": """WITH b AS (SELECT DISTINCT item_id, lower(trim(split_part(text, '. ', 1))) AS k FROM benchmark)
 SELECT doc_id, item_id FROM documents, b WHERE k <> '' AND contains(lower(text), k)""",
