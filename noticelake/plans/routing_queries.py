@@ -6,10 +6,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import calendar, graph, merge, notify, quality, routing
 from ..streaming import runs
-from .views import ANN, DEFAULT, RULES, announcements, table
+from .views import ANN, announcements, table
 
 TOPIC = "notices"
 #: name, topic suffix, keywords
