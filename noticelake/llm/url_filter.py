@@ -66,9 +66,11 @@ class Level:
 
 
 def _position(h1: np.ndarray, h2: np.ndarray, level: int, k: int, m: int) -> np.ndarray:
-    """Bit k of a level for each key: double hashing, modulo m."""
+    """Bit k of a level for each key: a mix of both hashes, modulo m."""
     mixed = h1 + np.uint64(level * K + k + 1) * h2
-    return (mixed >> np.uint64(1)) % np.uint64(m)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)  # else small m see few bits of either
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ (mixed >> np.uint64(32))) % np.uint64(m)
 
 
 def _build(keys: DataFrame, n: int, level: int) -> Level:
