@@ -7,6 +7,7 @@ prices. The rounded patterns make slots, and the pieces, ranked within their cla
 histogram, one row a length, reaches the driver.
 """
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -28,7 +29,7 @@ STEP = 8
 #: Ranks within a class are counted in so many parts, so a frequent length isn't one task's work.
 RANK_PARTS = 256
 #: A worker remembers the ids of so many words; others are encoded each time they occur.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: The linear program ends within this share of the best, or after so many rounds.
 CLOSE, MAX_ROUNDS = 0.001, 400
 
@@ -42,30 +43,42 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of whole texts, from remembered ids of words.
 
-    The tokenizer drops white space and lower-cases, and none of its ids spans white space, so a text's ids
-    are those of its words one after another. `encode` gives them as little-endian unsigned 32-bit integers.
+    The tokenizer drops white space and lower-cases, and none of its ids spans white space, or the border
+    between a run of letters, a digit and a run of other characters, so a text's ids are those of its words,
+    or of such runs, one after another. `encode` gives them as little-endian unsigned 32-bit integers.
     """
 
-    MARK = "\x01"
+    #: The tokenizer's own runs, in lower-cased bytes of a text whose other characters beyond ASCII are letters.
+    RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\x80-\xff]+")
+
+    PLAIN = re.compile(rb"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), cached_words, {}
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _is_run(self, word: bytes) -> bool:
+        return self.PLAIN.fullmatch(word) is not None or (not word.isascii() and word.decode().lower().isalpha())
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        odd = [w for w in words if b"\x01" in w or b"<|" in w]
-        plain = [w for w in words if not (b"\x01" in w or b"<|" in w)]
-        found = dict(zip(odd, self._plain([w.decode() for w in odd]), strict=True))
-        for at in range(0, len(plain), 512):  # many words in one call, with a mark after each
-            part = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode(b" \x01 ".join([*part, b""]).decode(), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            for w, a, b in zip(part, [0, *(ends[:-1] + 1)], ends, strict=True):
+        runs = [w for w in words if self._is_run(w)]
+        rest = [w for w in words if not self._is_run(w)]
+        found = dict(zip(rest, self._plain([w.decode() for w in rest]), strict=True))
+        for at in range(0, len(runs), 256):  # many runs in one call: each ends with an id that ends a word
+            part = runs[at : at + 256]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # a letter that the tokenizer takes apart
+                found |= dict(zip(part, self._plain([w.decode() for w in part]), strict=True))
+                continue
+            for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
                 found[w] = ids[a:b].tobytes()
         return found
 
@@ -73,7 +86,13 @@ class WordEncoder:
         split = []
         for text in texts:
             raw = text.encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+            beyond = "" if text.isascii() else "".join(c for c in set(text) if c > "\x7f").lower()
+            if b"<|" in raw:
+                split.append(raw.split())
+            elif beyond and not beyond.isalpha():
+                split.append(raw.lower().split())
+            else:
+                split.append(self.RUNS.findall(raw.lower()))
         new = list(set().union(*split) - self.known.keys())
         ids = self._learn(new)
         if new and len(self.known) + len(new) <= self.room:
