@@ -179,6 +179,20 @@ def first_basis(need: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return basis
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination, in one thread: a few hundred rows, often beside busy tasks."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        swap = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, swap]] = both[[swap, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
 def cutting_stock(demand: dict[int, int], room: int, max_rounds: int = MAX_ROUNDS) -> list[tuple[dict[int, int], int]]:
     """[(pattern: size -> count, copies)] that offers at least `demand` (size -> count) in few bins of `room`."""
     sizes = np.array(sorted(s for s, n in demand.items() if n), int)
@@ -186,10 +200,10 @@ def cutting_stock(demand: dict[int, int], room: int, max_rounds: int = MAX_ROUND
         return []
     need = np.array([demand[s] for s in sizes], float)
     basis = first_basis(need, sizes, room)
-    inverse, cost = np.linalg.inv(basis), np.ones(len(sizes))
-    x = inverse @ need
+    inverse, cost = _inverse(basis), np.ones(len(sizes))
+    x = (inverse * need).sum(1)
     for turn in range(max_rounds):
-        dual = cost @ inverse
+        dual = (cost[:, None] * inverse).sum(0)
         if (spare := int(dual.argmin())) >= 0 and dual[spare] < -1e-9:  # a size may be offered more often than needed
             column, price = -np.eye(len(sizes))[spare], 0.0
         else:
@@ -197,22 +211,22 @@ def cutting_stock(demand: dict[int, int], room: int, max_rounds: int = MAX_ROUND
             price = 1.0
             if value <= 1 + CLOSE:  # the sum of x is then within this share of the least
                 break
-        way = inverse @ column
+        way = (inverse * column).sum(1)
         up = way > 1e-9
         if not up.any():
             break
         leave = int(np.where(up, x / np.where(up, way, 1), np.inf).argmin())
         basis[:, leave], cost[leave] = column, price
         if turn % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             row = inverse[leave] / way[leave]
             inverse = inverse - np.outer(way, row)
             inverse[leave] = row
-        x = np.maximum(inverse @ need, 0)
+        x = np.maximum((inverse * need).sum(1), 0)
     x = np.where(cost > 0, x, 0)
     whole = np.floor(x + 1e-9)
-    rest = np.maximum(np.rint(need - np.maximum(basis, 0) @ whole), 0).astype(int)
+    rest = np.maximum(np.rint(need - (np.maximum(basis, 0) * whole).sum(1)), 0).astype(int)
     found = [({int(s): int(c) for s, c in zip(sizes, basis[:, i], strict=True) if c > 0}, int(n)) for i, n in enumerate(whole) if n]
     bins: list[tuple[int, Counter]] = []
     for s, n in sorted(zip(sizes.tolist(), rest.tolist(), strict=True), reverse=True):  # first fit, largest first
