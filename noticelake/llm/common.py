@@ -41,3 +41,12 @@ def lower_ascii(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fourth of the documents that no classifier learns from; null ids are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def drawn(rows: DataFrame, n: Column, wanted: int) -> DataFrame:
+    """About twice `wanted` rows (all, if there are no more) of the `n` that a row is one of, by a hash of the whole row.
+
+    A filter, so what is drawn is all that later steps shuffle. Equal rows are drawn together.
+    """
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return rows.where(share * n < 2.0 * wanted)

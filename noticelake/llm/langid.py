@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, table
+from .common import drawn, held_out, table
 from .ftrl import FTRL, softmax, temperature
 
 FEATURES = 1 << 15
@@ -91,8 +91,11 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
-    """A model of the rows (text, lang) whose lang isn't null and whose text has a letter."""
-    labelled = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    """A model of the rows (text, lang) whose lang isn't null and whose text has a letter.
+
+    Other columns only tell equal texts apart when the sample is drawn.
+    """
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -101,8 +104,9 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCH
     languages, rows = [r["lang"] for r in counts], sum(r["count"] for r in counts)
     idf = np.log((1 + rows) / (1 + document_frequencies(labelled))) + 1
     each = max(2, train_rows // len(languages))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("text", "lang"))
-    sample = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
+    known = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["count"])]), F.col("lang"))
+    few = drawn(labelled, known, each).select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    sample = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= each)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
