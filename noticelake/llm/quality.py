@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, table
+from .common import drawn, held_out, table
 from .ftrl import FTRL, Example
 
 FEATURES = 1 << 18
@@ -119,8 +119,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     with its smallest.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # train_rows rows: small enough to broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "quality")
+    few = drawn(known, F.lit(known.count()), train_rows)
+    first = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # train_rows rows: small enough to broadcast
+    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text", "quality")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
