@@ -2,8 +2,10 @@
 
 Unit vectors are coded with four bits for each subspace. Codebooks and codes minimise a loss in which the
 residual along the vector, which changes large inner products, weighs more than the residual across it.
-Blocks of queries meet shards of the index: table look-ups over the codes pick candidates, which are then
-ranked by the exact cosine. Equal vectors are indexed once, with their smallest ids.
+Blocks of queries meet shards of the index: the exact cosines of the candidates that are best by table
+look-ups over the codes give a bound, and all candidates whose look-up, with the largest error that their
+code allows, reaches it are ranked by the exact cosine. Vectors of one direction are indexed once, with
+their smallest ids.
 """
 
 from collections.abc import Iterable, Iterator
@@ -27,8 +29,10 @@ TRAIN_ROWS = 8192
 ROUNDS = 6
 #: Inner products over this share of the vector's length are those whose error matters.
 THRESHOLD = 0.2
-#: Candidates of a query for the exact ranking, before and after the shards are put together.
+#: Candidates of a query in a shard whose exact cosines set the bound that all others are held against.
 CANDIDATES = 300
+#: Cosines that are equal to so many decimals are ties.
+DECIMALS = 12
 QUERY_BLOCK, SHARD = 512, 32_768
 
 
@@ -64,6 +68,12 @@ class Codebook:
                 total = rest + along[rows, m, codes[:, m]]
         return codes.astype(np.uint8)
 
+    def errors(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For unit vectors and their codes, the residual along the vector (signed) and the length of that across it."""
+        left = self.parts(x) - self.centres[np.arange(codes.shape[1]), codes]
+        along = (left * self.parts(x)).sum((1, 2))
+        return along, np.sqrt(np.maximum((left * left).sum((1, 2)) - along * along, 0))
+
     def refit(self, x: np.ndarray, codes: np.ndarray) -> None:
         """The centres of least loss for these codes: one linear system over all of them."""
         p, (m, k, s) = self.parts(x), self.centres.shape
@@ -97,32 +107,49 @@ def unit(batch: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct (vec_id, embedding) of the rows that take part: id and vector not null, no null or non-finite
-    component, not zero, and of the dimension that most such rows have (of equally many, the smaller).
+    """(vec_id, direction, embedding), one row per id and direction, of the rows that take part: id and vector not
+    null, no null or non-finite component, not zero, and of the dimension that most such rows have (of equally
+    many, the smaller). Divided by their largest component, multiples of one vector are equal to the last bit.
     """
     e = F.col("embedding")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull() & fine & F.exists(e, lambda v: v != 0))
     dim = rows.groupBy(F.size(e).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return rows.where(F.size(e) == (dim["dim"] if dim else 0)).distinct()
+    largest = F.array_max(F.transform(e, lambda v: F.abs(v).cast("double")))
+    alike = rows.where(F.size(e) == (dim["dim"] if dim else 0)).withColumn("largest", largest)
+    turned = alike.select("vec_id", F.transform(e, lambda v: v.cast("double") / F.col("largest")).alias("direction"), "embedding")
+    return turned.groupBy("vec_id", "direction").agg(F.min("embedding").alias("embedding"))
+
 
+def search_cell(book: Codebook, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, ids: np.ndarray, keep: int, candidates: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (rows of unit vectors) the `keep` largest cosines among the unit vectors x: indices and cosines, ties to the smaller id.
 
-def search_cell(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query (rows of unit vectors) the best `keep` codes by table look-ups: indices and scores."""
+    A vector of cosine t >= low >= 0 has at least the look-up t - max(along, 0) - across * sqrt(1 - low^2), so none
+    whose look-up is below that for low, the bound of the `candidates` best look-ups, can be among the results.
+    """
     tables = np.einsum("qms,mks->qmk", book.parts(queries), book.centres).astype(np.float32)
-    m, keep = tables.shape[1], min(keep, len(codes))
-    found, scores = np.empty((len(queries), keep), np.int64), np.empty((len(queries), keep), np.float32)
+    m, keep, first = tables.shape[1], min(keep, len(codes)), min(max(keep, candidates), len(codes))
+    halves = np.stack([codes & 15, codes >> 4], -1).reshape(len(codes), -1)[:, :m]
+    along, across = book.errors(x, halves)
     columns = [np.ascontiguousarray(codes[:, i]) for i in range(codes.shape[1])]
-    for q, tab in enumerate(tables):
+    found = []
+    for q, tab in zip(queries, tables, strict=True):
         if m % 2:
             tab = np.vstack([tab, np.zeros((1, CENTRES), np.float32)])
         both = (tab[1::2, :, None] + tab[::2, None, :]).reshape(len(columns), 256)  # two four-bit codes in a byte
         total = both[0].take(columns[0])
         for i in range(1, len(columns)):
             total += both[i].take(columns[i])
-        best = np.argpartition(-total, keep - 1)[:keep]
-        found[q], scores[q] = best, total[best]
-    return found, scores
+        best = np.argpartition(-total, first - 1)[:first]
+        low = np.partition(x[best] @ q, first - keep)[first - keep]
+        reach = np.maximum(along, 0) + across * np.sqrt(max(0.0, 1 - low * low)) if low >= 0 else np.abs(along) + across
+        at = np.flatnonzero(total + reach + 1e-4 >= low)  # and the rounding of look-ups
+        score = x[at] @ q
+        at = at[score >= np.partition(score, len(at) - keep)[len(at) - keep] - 10.0**-DECIMALS * 2]
+        score = np.round((x[at] * q).sum(1), DECIMALS)
+        order = np.lexsort((ids[at], -score))[:keep]
+        found.append((at[order], score[order]))
+    return found
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -136,15 +163,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
     """(query_id, rank, vec_id, score): the k largest cosines found for each row of `queries` among `vectors`.
 
     Both have vec_id and embedding; rows that `usable` leaves out take no part, as queries or candidates. A
-    query's own id is no candidate. Ties go to the smaller vec_id. Repeated rows count once. Fewer candidates
-    than k give all of them; an empty table gives an empty result. Codes are approximate, the ranking of the
-    `candidates` best of them exact.
+    query's own id is no candidate. Ties (of DECIMALS decimals, to which scores are rounded) go to the smaller
+    vec_id. Repeated rows count once. Fewer candidates than k give all of them; an empty table gives an empty
+    result. Codes only rule candidates out: the result is that of all exact cosines, whatever `candidates` is.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
-    members = saved(rows.withColumn("n", first).where(F.col("n") <= k + 1), "members")  # of equal vectors, the smallest ids
+    first = F.row_number().over(W.partitionBy("direction").orderBy("vec_id"))
+    members = saved(rows.withColumn("n", first).where(F.col("n") <= k + 1), "members")  # of one direction, the smallest ids
     index = members.where("n = 1").select(F.col("vec_id").alias("rep"), "embedding")
     n = index.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -159,10 +186,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
         for batch in batches:
             if batch.num_rows:
                 codes = packed(shared.value.encode(unit(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "embedding", "code"])
 
-    codes = index.mapInArrow(coded, "rep long, code binary").withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    by_rep = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(index, "embedding").select("query_id", "rep")
+    codes = index.mapInArrow(coded, f"rep long, embedding {dict(index.dtypes)['embedding']}, code binary").withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
+    reps = members.where("n = 1").select(F.col("vec_id").alias("rep"), "direction")
+    by_rep = asked.select(F.col("vec_id").alias("query_id"), "direction").join(reps, "direction").select("query_id", "rep")
     by_rep = saved(by_rep, "queries")
     asking = by_rep.select("rep").distinct()
     blocks = max(1, ceil(asking.count() / QUERY_BLOCK))
@@ -171,30 +199,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
     right = saved(codes, "codes").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("near", pa.float32())])
+        schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64())])
         if not q.num_rows or not c.num_rows:
             return schema.empty_table()
         code = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(c.num_rows, -1)
-        at, near = search_cell(shared.value, unit(q["embedding"].combine_chunks()), code, candidates)
-        reps = np.repeat(q["rep"].to_numpy(), at.shape[1])
-        return pa.table([reps, c["rep"].to_numpy()[at.ravel()], near.ravel()], schema=schema)
-
-    met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(cell, "q long, c long, near float")
-    best = met.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("near"), "c"))).where(F.col("n") <= candidates).select("q", "c")
-    pairs = best.join(index.select(F.col("rep").alias("c"), F.col("embedding").alias("c_vec")), "c")
-    pairs = pairs.join(index.select(F.col("rep").alias("q"), F.col("embedding").alias("q_vec")), "q")
-
-    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.stack([v.values.to_numpy() for v in batch.column(c)]).astype(float) for c in ("q_vec", "c_vec"))
-                score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("c"), pa.array(score)], ["q", "c", "score"])
+        ids = c["rep"].to_numpy()
+        found = search_cell(shared.value, unit(q["embedding"].combine_chunks()), unit(c["embedding"].combine_chunks()), code, ids, k + 1, candidates)
+        asker = np.repeat(q["rep"].to_numpy(), [len(at) for at, _ in found])
+        return pa.table([asker, ids[np.concatenate([at for at, _ in found])], np.concatenate([score for _, score in found])], schema=schema)
 
-    scored = pairs.mapInArrow(exact, "q long, c long, score double")
+    scored = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(cell, "q long, c long, score double")
     top = scored.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("n") <= k + 1).drop("n")
-    reps = members.where("n = 1").select(F.col("vec_id").alias("c"), "embedding")
-    ids = members.join(reps, "embedding").select("c", "vec_id")
+    ids = members.join(reps.withColumnRenamed("rep", "c"), "direction").select("c", "vec_id")
     answers = by_rep.withColumnRenamed("rep", "q").join(top, "q").join(ids, "c").where("vec_id <> query_id")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -255,6 +255,24 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_neighbours_in_dense_groups(spark):
+    """Groups of more than CANDIDATES vectors that are close but unequal, or multiples of one vector."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2400, 64))
+    x[:800] = x[0] + 0.3 * rng.normal(size=(800, 64))
+    x[800:1200] = x[800] * rng.permutation(np.arange(1, 401))[:, None]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    asked = [*range(0, 2400, 60), 850, 1199]
+    found = ann.nearest(df, df.where(F.col("vec_id").isin(asked))).collect()
+    for q in asked:
+        s = np.round(u @ u[q], 9)
+        s[q] = -9
+        wanted = np.lexsort((np.arange(2400), -s))[:5].tolist()
+        assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == wanted
+
+
 def test_anisotropic_codes_keep_large_products():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16))
