@@ -1,10 +1,13 @@
 """Operator 9: license notices in documents, with DataFrame functions only.
 
 Base phrases are found word by word. Notices beyond them are found by an exact set-similarity join of
-text blocks (lines) with license templates: words are ordered by how many blocks of the whole corpus
-hold them, rarest first; a block can reach the containment threshold only if it holds one of a
-template's first |T| - need + 1 words (prefix), has at least `need` words (length), and has enough
-words left from the first shared one on (position). What passes is verified.
+text blocks with license templates. A template's blocks are all windows of its length, and a part more
+for words put in, over the words of a document: line breaks don't count, and words far apart don't add up.
+Words are ordered by how many documents of the whole corpus hold them, rarest first; a document can have
+a window that reaches the containment threshold only if it holds one of a template's first
+|T| - need + 1 words (prefix), has at least `need` words (length), and has enough of the template's words
+from the first shared one on (position). In what passes, each window that starts at a word of the
+template is verified.
 """
 
 from collections.abc import Sequence
@@ -29,7 +32,7 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
-#: Share of a template's distinct words that a block must hold.
+#: Share of a template's distinct words that a block must hold; a block has the template's words divided by it.
 THRESHOLD = 0.8
 #: All templates together may have so many distinct words: the word tables are then small enough to broadcast.
 MAX_VOCABULARY = 20_000
@@ -74,37 +77,33 @@ def _labelled(label: str):
     return place
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(did, block, w): the distinct words of each line that has any."""
-    lines = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), F.posexplode_outer(F.split("text", "\n", -1)).alias("block", "line"))
-    return lines.select("did", "block", F.array_distinct(words(F.col("line"))).alias("w"))
-
-
 def similar_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(did, block, label, containment) of every line that holds `threshold` of a template's distinct words."""
+    """(did, label, containment) of windows that hold `threshold` of a template's distinct words, the best of a document."""
     spark = docs.sparkSession
-    sets = [(label, set(_python_words(text)) - {""}) for label, text in templates]
+    sets = [(label, [w for w in _python_words(text) if w]) for label, text in templates]
     vocabulary = sorted(set().union(*(s for _, s in sets)))
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError(f"the templates have {len(vocabulary)} words; at most {MAX_VOCABULARY} are allowed")
     known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
-    in_blocks = _blocks(docs).select(F.explode_outer("w").alias("word")).join(known, "word").groupBy("word").count()
-    count = {r["word"]: r["count"] for r in in_blocks.collect()}  # one row a template word at most
+    split = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), words(F.col("text")).alias("w"))
+    in_docs = split.select(F.explode_outer(F.array_distinct("w")).alias("word")).join(known, "word").groupBy("word").count()
+    count = {r["word"]: r["count"] for r in in_docs.collect()}  # one row a template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     prefixes = []
     for label, tokens in sets:
-        ordered = sorted(tokens, key=rank.__getitem__)
+        ordered = sorted(set(tokens), key=rank.__getitem__)
         need = ceil(threshold * len(ordered) - 1e-9)
-        prefixes += [(w, at, label, ordered, need) for at, w in enumerate(ordered[: len(ordered) - need + 1])]
-    index = F.broadcast(spark.createDataFrame(prefixes, "word string, at int, label string, tokens array<string>, need int"))
-    met = _blocks(docs).select("*", F.explode_outer("w").alias("word")).join(index, "word").where(F.size("w") >= F.col("need"))
+        length = ceil(len(tokens) / threshold - 1e-9)
+        prefixes += [(w, at, label, ordered, need, length) for at, w in enumerate(ordered[: len(ordered) - need + 1])]
+    index = F.broadcast(spark.createDataFrame(prefixes, "word string, at int, label string, tokens array<string>, need int, length int"))
+    rare = F.split(F.lit(" ".join(sorted({w for w, *_ in prefixes}))), " ")
+    met = split.select("*", F.explode_outer(F.array_intersect(rare, "w")).alias("word")).join(index, "word").where(F.size("w") >= F.col("need"))
     shared = F.array_intersect("tokens", "w")  # in the order of `tokens`
-    met = met.withColumn("shared", shared)
-    first = F.element_at("shared", 1) == F.col("word")  # a pair once, at its first shared word
-    left = F.least(F.size("tokens") - F.col("at"), F.size("shared"))
-    return met.where(first & (left >= F.col("need"))).select(
-        "did", "block", "label", (F.size("shared") / F.size("tokens")).alias("containment")
-    )
+    first = F.element_at(shared, 1) == F.col("word")  # a pair once, at its first shared word
+    met = met.where(first & (F.least(F.size("tokens") - F.col("at"), F.size(shared)) >= F.col("need")))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains("tokens", F.get("w", i)))
+    held = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("tokens", F.slice("w", i + 1, F.col("length"))))))
+    return met.withColumn("held", held).where(F.col("held") >= F.col("need")).select("did", "label", (F.col("held") / F.size("tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -190,6 +190,17 @@ def test_licenses(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_license_windows(spark):
+    """Notices over lines, in comments and long lines; words of a notice far apart are none."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "/* Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation\n * files (the"
+    one_a_line = "Released\r\nunder\r\nthe\r\nMIT\r\nLicense"
+    far = "released " + "x " * 30 + "under the " + "y " * 30 + "mit license"
+    texts = [bsd, mit, one_a_line, far, "word " * 3000 + bsd + " word" * 3000, far + "\n" + bsd + " " + one_a_line, "the MIT " * 5000, "under the MIT License"]
+    got = [(r["labels"], r["score"]) for r in sorted(license_scan.scan(docs(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert got == [("bsd", 1.0), ("mit", 1.0), ("mit", 1.0), ("", 0.0), ("bsd", 1.0), ("bsd,mit", 1.0), ("", 0.0), ("mit", 0.8)]
+
+
 def test_language(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.train(langid.learnable(df))
