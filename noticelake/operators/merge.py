@@ -192,8 +192,8 @@ def outbox_pending(enqueued: DataFrame, acks: DataFrame) -> DataFrame:
     return first_by(enqueued, ["account_id", "id"], F.col("seq")).join(acks.select("account_id", "id").distinct(), ["account_id", "id"], "left_anti")
 
 
-def require_owner(rows: DataFrame, owner: str, column: str = "account_id") -> DataFrame:
-    """The rows, which all must be the owner's: a foreign one fails the job when it is read."""
+def require_owner(rows: DataFrame, owner: str | Column, column: str = "account_id") -> DataFrame:
+    """The rows, which all must be the owner's (one for all, or a column): a foreign one fails the job when it is read."""
     same = F.col(column).eqNullSafe(F.lit(owner))
     return rows.where(F.assert_true(same, F.lit("a row belongs to another owner")).isNull())
 

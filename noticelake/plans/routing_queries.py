@@ -250,17 +250,24 @@ def stream_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/deliveries").groupBy("subscriber").agg(F.count("*").alias("n"))
 
 
-def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One owner's mutations as file drops, applied up to each user's first error."""
+def drained_outboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts' mutations as file drops, applied up to each one's first error."""
     work = _work(spark)
     e = table(spark, sf_dir, "events")
-    rows = e.select(F.col("user_id").cast("string").alias("account_id"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), "event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
-    owner = rows.agg(F.min("account_id")).first()[0]
-    rows.where(F.col("account_id") == owner).coalesce(1).write.parquet(f"{work}/in")
-    runs.drain_outbox(spark.readStream.schema(rows.schema).parquet(f"{work}/in"), owner, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    user = F.col("user_id").cast("string")
+    rows = e.select(user.alias("owner"), user.alias("account_id"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), "event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
+    rows.write.parquet(f"{work}/in")
+    runs.drain_outbox(spark.readStream.schema(rows.schema).parquet(f"{work}/in"), F.col("owner"), f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{work}/out").select("account_id", "seq", "id")
 
 
+def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drains every account; the rows are those of the one that the SQL names."""
+    sent = drained_outboxes(spark, sf_dir)
+    shown = table(spark, sf_dir, "events").agg(F.min(F.col("user_id").cast("string")).alias("account_id"))
+    return sent.join(F.broadcast(shown), "account_id", "left_semi")
+
+
 def merge_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two devices' subscriptions, reads and preferences of users, merged; rows by kind."""
     e = table(spark, sf_dir, "events")

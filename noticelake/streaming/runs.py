@@ -7,7 +7,7 @@ replaces its own output and adds nothing.
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -62,8 +62,11 @@ def notify_stream(items: DataFrame, subscriptions: DataFrame, folder: str, check
     return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain_outbox(mutations: DataFrame, owner: str, folder: str, checkpoint: str, keys: tuple[str, ...] = ("user_id", "key")) -> StreamingQuery:
-    """Apply pending mutations (account_id, seq, id, user_id, key, ..., failed) in order up to an account's first failure, each id once."""
+def drain_outbox(mutations: DataFrame, owner: str | Column, folder: str, checkpoint: str, keys: tuple[str, ...] = ("user_id", "key")) -> StreamingQuery:
+    """Apply pending mutations (account_id, seq, id, user_id, key, ..., failed) in order up to an account's first failure, each id once.
+
+    `owner`: of all rows, or a column that names each row's.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         mine = merge.require_owner(batch, owner)

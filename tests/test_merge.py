@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelake.operators import calendar, merge, notify, quality, routing
+from noticelake.plans import routing_queries
 from noticelake.sources import readers, writers
 from noticelake.streaming import runs
 
+from .oracle import DATA
+
 SUBS = "user_id string, keyword string, normalized_keyword string, created_at string, updated_at string, deleted_at string"
 
 
@@ -66,6 +69,17 @@ def test_outbox_and_owner(spark):
         merge.require_owner(rows, "b").collect()
 
 
+def test_every_account_drains(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id", "event_type").collect()
+    failed = {}
+    for e in events:
+        if e["event_type"] == "error":
+            failed[e["user_id"]] = min(e["event_id"], failed.get(e["user_id"], e["event_id"]))
+    wanted = sorted((str(e["user_id"]), e["event_id"]) for e in events if e["event_id"] < failed.get(e["user_id"], e["event_id"] + 1))
+    got = sorted((r["account_id"], r["seq"]) for r in routing_queries.drained_outboxes(spark, DATA).collect())
+    assert got == wanted and len({a for a, _ in got}) > 1
+
+
 def test_checks_fail_closed(spark, tmp_path):
     items = spark.createDataFrame([("a", "t", "2024-01-01", None), ("b", "t", None, None)], "id string, title string, date string, first_seen string")
     folder = f"file://{tmp_path}/snap"
