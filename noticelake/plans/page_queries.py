@@ -48,10 +48,10 @@ def first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' host and path numbers as article links, each page linking to itself and to its host's first page."""
+    """The pages' host and path numbers as article links, before the page's own text."""
     p = _pages(spark, sf_dir)
     number = F.regexp_extract("url", r"/(\d+)", 1)
-    page = F.concat(F.lit("<a href='/p/406-1-"), number, F.lit(",r7.php?x=1'><b>"), F.left("html", F.lit(0)), F.lit("Notice "), number, F.lit("</b></a><a href='/p/406-1-"), number, F.lit(".php'>again "), number, F.lit("</a>"))
+    page = F.concat(F.lit("<a href='/p/406-1-"), number, F.lit(",r7.php?x=1'><b>Notice "), number, F.lit("</b></a><a href='/p/406-1-"), number, F.lit(".php'>again "), number, F.lit("</a>"), F.coalesce("html", F.lit("")))
     return extract.article_links(p.select("page_id", "url", page.alias("html"))).select("page_id", "art_id", "cat_ref", "title", "link")
 
 
@@ -84,10 +84,10 @@ def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def menu_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page numbers as list and menu links."""
+    """Page numbers as list and menu links, before the page's own text."""
     p = _pages(spark, sf_dir)
     n = F.regexp_extract("url", r"/(\d+)", 1)
-    page = F.concat(F.lit("<a href='/p/403-1-"), n, F.lit("-2.php'>公告 "), n, F.lit("</a><a href='/p/412-1-"), n, F.lit(".php'>About</a><a href='/p/412-2-"), n, F.lit(".php'>最新消息</a>"))
+    page = F.concat(F.lit("<a href='/p/403-1-"), n, F.lit("-2.php'>公告 "), n, F.lit("</a><a href='/p/412-1-"), n, F.lit(".php'>About</a><a href='/p/412-2-"), n, F.lit(".php'>最新消息</a>"), F.coalesce("html", F.lit("")))
     return extract.nav_filter(extract.menu_links(p.select("page_id", "url", page.alias("html")))).select("page_id", "kind", "unit", "number", "label", "link")
 
 

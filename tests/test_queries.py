@@ -20,6 +20,13 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_links_of_page_texts(spark, tmp_path):
+    html = "<a href='/p/406-1-77,r7.php'>Real notice</a><a href='/p/403-1-78-1.php'>公告 list</a>"
+    spark.createDataFrame([(1, "https://a.net/5", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {"5", "77"} <= {str(r["art_id"]) for r in QUERIES["article_links"](spark, str(tmp_path)).collect()}
+    assert {"5", "78"} <= {str(r["number"]) for r in QUERIES["menu_links"](spark, str(tmp_path)).collect()}
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["id", "title", "display_date", "remaining"]
