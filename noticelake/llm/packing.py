@@ -7,14 +7,18 @@ prices. The rounded patterns make slots, and the pieces, ranked within their cla
 histogram, one row a length, reaches the driver.
 """
 
+import json
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,10 +30,14 @@ SEQUENCE = 2048
 END_ID = 1
 #: Tokens in a length class: a sequence loses half of it a piece on average.
 STEP = 8
-#: Ranks within a class are counted in so many parts, so a frequent length isn't one task's work.
-RANK_PARTS = 256
-#: A worker remembers the ids of so many words; others are encoded each time they occur.
+#: Ranks within a class are counted in so many parts at least, and so many pieces a part on average at most,
+#: so a frequent length isn't one task's work.
+RANK_PARTS, RANK_PIECES = 256, 100_000
+#: A worker remembers the ids of about so many words, then starts anew.
 CACHED_WORDS = 1_000_000
+#: Bytes of text encoded at a time.
+PART_BYTES = 16 << 20
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: The linear program ends within this share of the best, or after so many rounds.
 CLOSE, MAX_ROUNDS = 0.001, 400
 
@@ -43,67 +51,148 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of whole texts, from remembered ids of words.
 
-    The tokenizer drops white space and lower-cases, and none of its ids spans white space, or the border
-    between a run of letters, a digit and a run of other characters, so a text's ids are those of its words,
-    or of such runs, one after another. `encode` gives them as little-endian unsigned 32-bit integers.
+    The tokenizer replaces white space, lower-cases, and cuts texts into runs of letters, single digits and
+    runs of other characters; none of its ids spans two of them. So a text's ids are those of its words, one
+    after another, and a word's are those of its runs. Words are taken apart only where the tokenizer itself
+    shows that each character beyond ASCII stays a letter; any other word is encoded whole, as it stands. A
+    tokenizer of another make (`splits_at_blanks` is false) encodes whole texts.
     """
 
-    #: The tokenizer's own runs, in lower-cased bytes of a text whose other characters beyond ASCII are letters.
-    RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\x80-\xff]+")
-
-    PLAIN = re.compile(rb"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+    #: The tokenizer's own runs, in a word whose A-Z are lower-cased and whose characters beyond ASCII are letters.
+    RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\U0010ffff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\x80-\U0010ffff]+")
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), cached_words, {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.lean, self.room = Tokenizer.from_file(path), Tokenizer.from_file(path), cached_words
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_at_blanks(json.load(file))
+        # encodes runs that are parted by spaces, lower-cased and normalised already
+        self.lean.normalizer = None
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_word[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _is_run(self, word: bytes) -> bool:
-        return self.PLAIN.fullmatch(word) is not None or (not word.isascii() and word.decode().lower().isalpha())
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        runs = [w for w in words if self._is_run(w)]
-        rest = [w for w in words if not self._is_run(w)]
-        found = dict(zip(rest, self._plain([w.decode() for w in rest]), strict=True))
-        for at in range(0, len(runs), 256):  # many runs in one call: each ends with an id that ends a word
-            part = runs[at : at + 256]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):  # a letter that the tokenizer takes apart
-                found |= dict(zip(part, self._plain([w.decode() for w in part]), strict=True))
-                continue
-            for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
-                found[w] = ids[a:b].tobytes()
-        return found
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = []
-        for text in texts:
-            raw = text.encode()
-            beyond = "" if text.isascii() else "".join(c for c in set(text) if c > "\x7f").lower()
-            if b"<|" in raw:
-                split.append(raw.split())
-            elif beyond and not beyond.isalpha():
-                split.append(raw.lower().split())
+        self.simple, self.odd = set(map(chr, range(128))), set()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # word or run: its row in `spans`
+        self.ids, self.used, self.spans = np.zeros(1024, "<u4"), 0, np.zeros((0, 2), np.int64)
+
+    def _keep(self, words: Iterable[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), "<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.known |= zip(words, range(len(self.spans), len(self.spans) + len(sizes)))
+        self.spans = np.concatenate([self.spans, np.stack([self.used + sizes.cumsum() - sizes, sizes], 1)])
+        self.used += len(ids)
+
+    def _is_simple(self, word: str) -> bool:
+        """Whether the tokenizer takes all characters beyond ASCII for nothing but letters."""
+        if not self.simple.issuperset(word):
+            for c in set(word) - self.simple - self.odd:
+                cut = [self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(t)) for t in (f"a{c}a.", f"{c}.")]
+                alone = all(len(parts) == 2 and parts[1][0] == "." for parts in cut)  # no digit (first), no mark (second)
+                (self.simple if alone else self.odd).add(c)
+            if not self.simple.issuperset(word):
+                return False
+        return unicodedata.is_normalized("NFC", word)
+
+    def _runs(self, word: str) -> str | list[str]:
+        """The one run that a word is, or its runs, A-Z lower-cased; none if it must be encoded whole."""
+        if word.isascii():
+            if word.isalpha():
+                return word.lower()
+            return [] if "<|" in word else self.RUNS.findall(word.lower())
+        if "<|" in word or not self._is_simple(word):
+            return []
+        low = word if word.islower() else word.translate(LOWER)
+        return low if low.isalpha() else self.RUNS.findall(low)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in one array, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.array(list(map(len, found)), np.int64)
+
+    def _learn(self, runs: list[str]) -> None:
+        packs = [" ".join(runs[at : at + 256]) for at in range(0, len(runs), 256)]  # many runs in one call
+        packs = [p if p.isascii() else self.tokenizer.normalizer.normalize_str(p) for p in packs]
+        found = self.lean.encode_batch_fast(packs, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1  # each run ends with an id that ends a word
+        if len(ends) != len(runs) or (len(ends) and ends[-1] != len(ids)):
+            raise ValueError("the tokenizer took a run apart")
+        self._keep(runs, ids, np.diff(ends, prepend=0))
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The row in `spans` of each of the distinct words."""
+        rows = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(rows < 0)
+        new = [words[i] for i in at.tolist()]
+        split = list(map(self._runs, new))
+        whole = [w for w, runs in zip(new, split, strict=True) if not runs]
+        self._keep(whole, *self._plain(whole))
+        runs, n = [], []
+        for word, parts in zip(new, split, strict=True):
+            if type(parts) is str:
+                runs.append(parts)
+                n.append(1)
             else:
-                split.append(self.RUNS.findall(raw.lower()))
-        new = list(set().union(*split) - self.known.keys())
-        ids = self._learn(new)
-        if new and len(self.known) + len(new) <= self.room:
-            self.known |= ids
-        if not new or new[0] in self.known:
-            look = self.known.__getitem__
-        else:
-            known = self.known
-            look = lambda w: ids[w] if w in ids else known[w]
-        for words in split:
-            yield b"".join(map(look, words))
+                runs += parts or [word]
+                n.append(len(parts) or 1)
+        self._learn(list(set(runs).difference(self.known)))
+        row, n = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs)), np.array(n, np.int64)
+        one = n == 1
+        rows[at[one]] = row[(n.cumsum() - n)[one]]
+        rows[at[~one]] = np.arange(len(self.spans), len(self.spans) + (~one).sum())
+        spans = self.spans[row[np.repeat(~one, n)]]
+        ends = np.r_[0, spans[:, 1].cumsum()][n[~one].cumsum()]
+        self._keep(compress(new, ~one), self._gathered(spans), np.diff(ends, prepend=0))
+        self.known |= zip(compress(new, one), rows[at[one]].tolist(), strict=True)
+        return rows
+
+    def _gathered(self, spans: np.ndarray) -> np.ndarray:
+        """The ids of spans (start, length), one after another."""
+        before = spans[:, 1].cumsum() - spans[:, 1]
+        at = np.repeat(spans[:, 0] - before, spans[:, 1])
+        at += np.arange(len(at))
+        return self.ids[at]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts (strings, no nulls) in one array, and where in it each text's end."""
+        if not self.by_words:
+            ids, sizes = self._plain(texts.to_pylist())
+            return ids, sizes.cumsum()
+        if len(self.known) > self.room:
+            self._forget()
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        spans = self.spans[rows[coded.indices.to_numpy()]]
+        ends = np.r_[0, spans[:, 1].cumsum()]
+        return self._gathered(spans), ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+
+
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file describes the steps that `WordEncoder` relies on."""
+    steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    runs = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    cut = [{"type": "Split", "pattern": runs, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    model, special = spec.get("model") or {}, spec.get("added_tokens") or []
+    marks = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in special)
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return plain and marks and spec.get("normalizer") == {"type": "Sequence", "normalizers": steps} and spec.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": cut}
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about PART_BYTES of text, of one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 @cache
@@ -119,23 +208,24 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each row's ids, cut at multiples of `sequence`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                row, out, ids = [], [], []
-                for i, raw in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    raw += end
-                    for start in range(0, len(raw) // 4, sequence):
-                        own = raw[4 * start : 4 * (start + sequence)]
-                        row.append(i)
-                        out.append((start, len(own) // 4, zlib.crc32(own), len(raw) // 4))
-                        if with_ids:
-                            ids.append(np.frombuffer(own, "<u4").astype(np.int32))
-                columns = [part.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))]
+            for part in _parts(batch):
+                ids, ends = encoder.encode(pc.fill_null(part.column(1), "").cast(pa.string()))
+                ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
+                ends = ends + np.arange(1, len(ends) + 1)
+                tokens = np.diff(ends, prepend=0)
+                n = -(-tokens // sequence)
+                row = np.repeat(np.arange(len(n)), n)
+                start = (np.arange(len(row)) - np.repeat(n.cumsum() - n, n)) * sequence
+                length = np.minimum(tokens[row] - start, sequence)
+                at = (ends - tokens)[row] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [part.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[row]))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                if with_ids:  # pieces follow one another in `ids`
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[at, len(ids)].astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
@@ -259,8 +349,10 @@ def assign(cut: DataFrame, sequence: int = SEQUENCE, step: int = STEP) -> DataFr
     patterns = cutting_stock({s: n for s, n in counts.items() if s < full}, full)
     where = slots(patterns + [({full: 1}, counts.get(full, 0))])
     key = [c for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens") if c in cut.columns]
-    rows = cut.withColumn("size", size).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(RANK_PARTS)).cast("int"))
-    before = rows.groupBy("size", "part").count()  # at most RANK_PARTS rows a size
+    parts = {s: max(RANK_PARTS, n // RANK_PIECES) for s, n in counts.items()}
+    many = F.element_at(F.create_map(*[F.lit(x) for item in parts.items() for x in item]), F.col("size")) if parts else F.lit(1)
+    rows = cut.withColumn("size", size).withColumn("part", F.pmod(F.xxhash64(*key), many).cast("int"))
+    before = rows.groupBy("size", "part").count()  # as many rows as parts: one for RANK_PIECES pieces, and 66,000
     before = before.withColumn("before", F.sum("count").over(W.partitionBy("size").orderBy("part")) - F.col("count"))
     ranked = rows.join(F.broadcast(before.select("size", "part", "before")), ["size", "part"])
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("size", "part").orderBy(*key)) - 1 + F.col("before"))
