@@ -34,18 +34,37 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def remove_dot_segments(url: Column) -> Column:
+    """`url` without the path segments . and .. and what they step back over."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?)([^?#]*)(.*)$"
+    head, path, tail = (F.regexp_extract(url, f"(?s){parts}", i) for i in (1, 2, 3))
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    segments = F.split(path, "/", -1)
+    last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), step)
+    clean = F.concat(head, F.array_join(F.concat(kept, last), "/"), tail)
+    return F.when(path.startswith("/") & path.rlike(r"/\.{1,2}(/|$)"), clean).otherwise(url)
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """A link's absolute URL: absolute, protocol-relative, rooted, query, fragment or relative to the base's folder."""
+    """A link's absolute URL: absolute, protocol-relative, rooted, query, fragment or relative to the base's folder.
+
+    Segments . and .. of relative and rooted links are resolved.
+    """
     page = F.regexp_replace(base, r"(?s)[?#].*$", "")
     folder = F.when(page.rlike(r"://[^/]+/"), F.regexp_replace(page, r"[^/]*$", "")).otherwise(F.concat(page, F.lit("/")))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
+        .when(href.startswith("//"), remove_dot_segments(F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href)))
+        .when(href.startswith("/"), remove_dot_segments(F.concat(origin(base), href)))
         .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), href))
         .when(href.startswith("?"), F.concat(page, href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(remove_dot_segments(F.concat(folder, href)))
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import MAX_CATEGORY_ID
 from ..functions.text import host
+from ..sources.folders import work_dir
 
 
 def hierarchy_path(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -29,9 +30,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, folder: str |
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="noticelake-"))
+        spark.sparkContext.setCheckpointDir(folder or work_dir(spark, "graph"))
     edges = edges.select("src", "dst").distinct()
     frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     visited = frontier

@@ -1,12 +1,16 @@
 """Keyword notifications with a delivery watermark."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import NOTIFIED_KEPT
 from ..functions.text import empty_as_null
 from .routing import keyword_match
 
+#: Subscribers of a keyword are dealt to so many parts, so that a popular one isn't one task's work.
+SALTS = 16
+
 
 def notify_candidates(items: DataFrame, subscriptions: DataFrame, state: DataFrame) -> DataFrame:
     """(subscriber, id, first_seen): items to deliver, once for each subscriber.
@@ -24,8 +28,12 @@ def notify_candidates(items: DataFrame, subscriptions: DataFrame, state: DataFra
     )
     fresh = items.where(empty_as_null(F.col("id")).isNotNull() & F.col("first_seen").isNotNull())
     texts = fresh.select("id", "first_seen", F.lower("text").alias("text"))
-    hits = keyword_match(texts, asked.select("keyword").distinct(), ("id", "first_seen"))
-    met = hits.join(asked, "keyword").where(F.col("first_seen") > F.col("bound"))
+    least = asked.groupBy("keyword").agg(F.min("bound").alias("least"))  # what no subscriber waits for goes first
+    texts = texts.join(F.broadcast(least.agg(F.min("least").alias("any"))), F.col("first_seen") > F.col("any")).drop("any")  # one row
+    hits = keyword_match(texts, least, ("id", "first_seen")).where(F.col("first_seen") > F.col("least")).drop("least")
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = asked.withColumn("salt", F.pmod(F.xxhash64("subscriber"), F.lit(SALTS)).cast("int"))
+    met = hits.join(dealt, ["keyword", "salt"]).where(F.col("first_seen") > F.col("bound"))
     kept = F.coalesce("notified_ids", F.array().cast("array<string>"))
     return met.where(~F.array_contains(kept, F.col("id"))).groupBy("subscriber", "id").agg(F.min("first_seen").alias("first_seen"))
 
@@ -39,9 +47,12 @@ def advance_watermark(state: DataFrame, delivered: DataFrame, keep: int = NOTIFI
     """State after a successful delivery (subscriber, id, first_seen): ids appended in order of time, the last `keep` kept;
     the watermark moves to the latest delivered time and never back. Subscribers without deliveries stay as they are.
     """
-    sent = delivered.groupBy("subscriber").agg(
-        F.array_sort(F.collect_set(F.struct("first_seen", "id"))).alias("sent"), F.max("first_seen").alias("latest")
-    )
+    once = delivered.groupBy("subscriber", "id").agg(F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("latest"))
+    latest = once.groupBy("subscriber").agg(F.max("latest").alias("latest"))
+    # of the last 2 * keep, keep at most are among the ids kept so far: no id that could stay is left out
+    place = F.row_number().over(W.partitionBy("subscriber").orderBy(F.desc("first_seen"), F.desc("id")))
+    last = once.withColumn("place", place).where(F.col("place") <= 2 * keep)
+    sent = last.groupBy("subscriber").agg(F.array_sort(F.collect_list(F.struct("first_seen", "id"))).alias("sent")).join(latest, "subscriber")
     none = F.array().cast("array<string>")
     both = state.join(sent, "subscriber", "full")
     old = F.coalesce("notified_ids", none)

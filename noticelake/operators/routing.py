@@ -10,8 +10,9 @@ from ..functions.fixed_values import BACKFILL_HOURS, BACKFILL_LIMIT, COLD_HOURS,
 from ..functions.text import empty_as_null, hours_since, is_mojibake
 from .quality import first_by
 
-#: Keywords are matched as one broadcast list up to so many; beyond, by shared 3-grams.
-BROADCAST_KEYWORDS = 500
+#: See `keyword_match`. Keywords are short, so these rows are a few megabytes.
+FEW_KEYWORDS, BROADCAST_KEYWORDS = 32, 50_000
+ANCHOR, SALTS = 6, 16
 
 
 def item_text(*columns: str) -> Column:
@@ -74,8 +75,9 @@ def badge(n: Column) -> Column:
     return F.when(n > 99, "99+").otherwise(n.cast("string"))
 
 
-def owner_scope(rows: DataFrame, owner: str) -> DataFrame:
-    return rows.where(F.col("user_id") == owner)
+def owner_scope(rows: DataFrame, owner: str | Column) -> DataFrame:
+    """Only the owner's rows: of one for all, or of the column that names who asks."""
+    return rows.where(F.col("user_id") == (F.lit(owner) if isinstance(owner, str) else owner))
 
 
 def cascade_delete(rows: DataFrame, users: DataFrame) -> DataFrame:
@@ -125,36 +127,54 @@ def exclude_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
 def classify_by_table(items: DataFrame, rules: DataFrame, text: Column, key: str = "id") -> DataFrame:
     """`items` with category by a rules table (priority, category, keyword): the first rule with a keyword in the text.
 
-    For rule tables too large for one expression; candidates share a 3-gram with the keyword.
+    For rule tables too large for one expression; see `keyword_match`.
     """
     hits = keyword_match(items.select(key, text.alias("text")), rules.select("keyword", "priority", "category"), key)
     best = hits.groupBy(key).agg(F.min_by("category", F.struct("priority", "category")).alias("category"))
     return items.drop("category").join(best, key, "left").withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY)))
 
 
-def _grams(text: Column, n: int = 3) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))))
+def _anchors(text: Column, lengths: Sequence[int]) -> Column:
+    """The distinct hashes of a text's substrings of these lengths."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def hashes(chars: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+    # bound once, or each hash would split the text anew
+    return F.get(F.transform(F.array(chars), lambda c: F.array_distinct(F.concat(*[hashes(c, n) for n in lengths]))), 0)
 
 
 def keyword_match(texts: DataFrame, keywords: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """(key columns, the columns of keywords) wherever the lower-cased keyword (trimmed, not blank) is a substring of `text`.
 
-    Up to BROADCAST_KEYWORDS rows the keywords are broadcast; beyond, text and keyword meet in the keyword's
-    rarest 3-gram, so each pair is compared once at most. Keywords of one or two characters have none and are
-    compared with every text.
+    texts: one row a key. Up to FEW_KEYWORDS every text is searched for each keyword. Beyond, a keyword is known by the
+    hash of one of its substrings of ANCHOR characters (all of it, if it is shorter): texts meet keywords by the hashes
+    of their own substrings, and what meets is searched. Up to BROADCAST_KEYWORDS the keywords are broadcast; beyond, keys
+    and hashes alone are shuffled, with keywords in SALTS copies, so that a frequent substring isn't one task's work.
     """
     words = keywords.withColumn("keyword", F.lower(F.trim("keyword"))).where("keyword <> ''").distinct()
     keys = [key] if isinstance(key, str) else list(key)
     kept = [*keys, *words.columns]
     found = F.contains("text", F.col("keyword"))
-    if words.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS:
+    n = words.limit(BROADCAST_KEYWORDS + 1).count()
+    if n <= FEW_KEYWORDS:
         return texts.join(F.broadcast(words), found).select(*kept)
-    text_grams = texts.where(F.length("text") >= 3).select(*keys, "text", F.explode(_grams(F.col("text"))).alias("gram"))
-    common = text_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    grams = words.where(F.length("keyword") >= 3).withColumn("gram", F.explode(_grams(F.col("keyword")))).join(common, "gram", "left")
-    rare = first_by(grams, words.columns, F.coalesce("n", F.lit(0)), F.col("gram")).drop("n")
-    met = text_grams.join(rare, "gram").where(found).select(*kept)
-    return met.unionAll(texts.join(words.where(F.length("keyword") < 3), found).select(*kept))
+    length = F.least(F.length("keyword"), F.lit(ANCHOR))
+    lengths = sorted(r["n"] for r in words.select(length.alias("n")).distinct().collect())  # ANCHOR rows at most
+    anchor = F.lit(None).cast("long")
+    for size in lengths:
+        anchor = F.when(length == size, F.array_min(_anchors(F.col("keyword"), [size]))).otherwise(anchor)
+    words = words.withColumn("__anchor", anchor)
+    rows = texts.withColumn("__anchors", _anchors(F.col("text"), lengths))
+    if n <= BROADCAST_KEYWORDS:
+        met = rows.select(*keys, "text", F.explode_outer("__anchors").alias("__anchor")).join(F.broadcast(words), "__anchor")
+        return met.where(found).select(*kept)
+    salted = words.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.select(*keys, F.explode_outer("__anchors").alias("__anchor")).withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    met = met.join(salted.hint("shuffle_hash"), ["__anchor", "__salt"]).select(*kept)
+    return met.join(texts.select(*keys, "text"), keys).where(found).select(*kept)
 
 
 def subscription_match(items: DataFrame, subscriptions: DataFrame, text: Column, key: str = "id") -> DataFrame:

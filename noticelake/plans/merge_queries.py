@@ -29,8 +29,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1."""
     ranked = merge.with_source_rank(_observations(spark, sf_dir), _sources(spark, sf_dir))
-    ordered = quality.first_by(ranked, ["id"], F.col("source_rank"), F.col("seq"), F.col("price"))
-    return ordered.select("id", F.col("source_rank.url").alias("url"), "seq")
+    return merge.canonical_source(ranked).select("id", F.col("source_rank.url").alias("url"), "seq")
 
 
 def best_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,7 @@ def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lww_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last write of each customer."""
+    """The last write of each customer."""
     return merge.lww_merge(_devices(spark, sf_dir), ["k"], "ts", "deleted_at", ["v"]).select("k", F.date_format("ts", _DAY).alias("day"), F.col("deleted_at").isNotNull().alias("deleted"), "v")
 
 
@@ -125,9 +124,9 @@ def outbox_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as logs owned by the role that begins."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("log"), F.lit("user").alias("owner"), F.col("role").alias("account_id"), "turn")
-    return merge.legacy_outbox(c).select("log", "turn")
+    """Orders as logs of line items that all name the log's owner, a return flag, or not."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("log"), F.lit("N").alias("owner"), F.col("l_returnflag").alias("account_id"), F.col("l_linenumber").alias("turn"), "l_partkey")
+    return merge.legacy_outbox(li).select("log", "turn", "l_partkey")
 
 
 def _list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +138,12 @@ def _list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagination_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W11."""
-    return merge.pagination_stop(_list_pages(spark, sf_dir), "1990-01-01")
+    """Pages before 1996-06 are older than the cutoff, those of every seventh month have no ids, of every fifth no dates."""
+    pages = _list_pages(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    ids = F.when(F.col("page_no") % 7 == 0, none).otherwise(F.col("ids"))
+    dates = F.when(F.col("page_no") % 5 == 0, none).otherwise(F.col("dates"))
+    return merge.pagination_stop(pages.withColumns({"page_no": -F.col("page_no"), "ids": ids, "dates": dates}), "1996-06-01")
 
 
 def pagination_stop_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +184,11 @@ def project_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: the tiers of orders together have all of them: no row."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", _DAY).alias("date"), F.lit(None).cast("string").alias("first_seen"))
-    return quality.lost_ids(o, merge.split_recent(o, "1997-01-01")).select("id", "n")
+    """Q3: orders against tiers that lack the pending ones and have urgent ones twice."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", _DAY).alias("date"), F.lit(None).cast("string").alias("first_seen"), "o_orderstatus", "o_orderpriority")
+    tiers = merge.split_recent(o, "1997-01-01")
+    broken = tiers.where("o_orderstatus <> 'P'").unionByName(tiers.where("o_orderpriority = '1-URGENT'"))
+    return quality.lost_ids(o, broken).select("id", "n")
 
 
 def adopt_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +220,7 @@ _LWW = """w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_o
 _PAGES = """p AS (SELECT l_suppkey AS category, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS page_no, CAST(l_partkey % 97 AS VARCHAR) AS id,
   strftime(l_shipdate, '%Y-%m-%d') AS d FROM lineitem)"""
 ORACLE_SQL = {
-    "canonical_source": f"WITH {_OBS} SELECT id, url, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, place, url, seq, price) AS n FROM r) WHERE n = 1",
+    "canonical_source": f"WITH {_OBS} SELECT id, url, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, place, url, seq) AS n FROM r) WHERE n = 1",
     "best_date": f"""WITH {_OBS}, d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY trust DESC, kind, place, url, seq) AS n FROM r WHERE date IS NOT NULL)
 SELECT i.id, d.date, d.date_source FROM (SELECT DISTINCT id FROM r) i LEFT JOIN d ON i.id = d.id AND n = 1""",
     "collect_run": f"""WITH {_OBS}, d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY trust DESC, kind, place, url, seq) AS n FROM r WHERE date IS NOT NULL),
@@ -237,10 +242,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n F
 SELECT account_id, id, min(seq) AS seq FROM e GROUP BY 1, 2 HAVING count(*) FILTER (WHERE event_type = 'view') = 0""",
     "outbox_prefix": """SELECT account_id, seq FROM (SELECT user_id AS account_id, event_id AS seq,
 sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f FROM events) WHERE f = 0""",
-    "legacy_outbox": "SELECT conv_id AS log, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING bool_and(role = 'user'))",
-    "pagination_stop": f"""WITH {_PAGES}, f AS (SELECT category, id, min(page_no) AS page_no FROM p GROUP BY 1, 2),
-n AS (SELECT category, page_no, count(*) AS fresh FROM f GROUP BY 1, 2), g AS (SELECT category, page_no, max(d) AS newest FROM p GROUP BY 1, 2),
-t AS (SELECT g.*, CASE WHEN fresh IS NULL THEN 'repeated' WHEN newest < '1990-01-01' THEN 'before cutoff' END AS reason FROM g LEFT JOIN n USING (category, page_no))
+    "legacy_outbox": "SELECT l_orderkey AS log, l_linenumber AS turn, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'N'))",
+    "pagination_stop": f"""WITH {_PAGES}, f AS (SELECT category, id, min(-page_no) AS page_no FROM p WHERE page_no % 7 <> 0 GROUP BY 1, 2),
+n AS (SELECT category, page_no, count(*) AS fresh FROM f GROUP BY 1, 2), g AS (SELECT category, -page_no AS page_no, max(CASE WHEN page_no % 5 <> 0 THEN d END) AS newest FROM p GROUP BY 1, 2),
+t AS (SELECT g.*, CASE WHEN page_no % 7 = 0 THEN 'empty' WHEN fresh IS NULL THEN 'repeated' WHEN newest < '1996-06-01' THEN 'before cutoff' END AS reason FROM g LEFT JOIN n USING (category, page_no))
 SELECT category, min(page_no) AS page_no, arg_min(reason, page_no) AS reason FROM t WHERE reason IS NOT NULL GROUP BY 1""",
     "pagination_stop_previous": f"""WITH {_PAGES}, g AS (SELECT category, page_no, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM p GROUP BY 1, 2),
 t AS (SELECT *, CASE WHEN ids = lag(ids) OVER (PARTITION BY category ORDER BY page_no) THEN 'repeated' WHEN page_no >= {12 * 1998} THEN 'ceiling' END AS reason FROM g)
@@ -253,7 +258,7 @@ row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag, l_orderkey * 10
     "project_subscriptions": f"""WITH {_LWW} SELECT CAST(o_custkey AS VARCHAR) AS normalized_keyword, CAST(o_custkey AS VARCHAR) AS keyword,
 coalesce(n_name, lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS id, CASE WHEN n_name IS NULL THEN '2024-06-01' ELSE '2024-01-01' END AS created_at
 FROM w LEFT JOIN nation ON o_custkey = n_nationkey WHERE n = 1 AND o_orderstatus <> 'F'""",
-    "partition_check": "SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n WHERE false",
+    "partition_check": """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN CAST(1 AS BIGINT) ELSE -1 END AS n FROM orders WHERE (o_orderstatus = 'P') <> (o_orderpriority = '1-URGENT')""",
     "adopt_archive": f"WITH {_SIDES} SELECT id, date_source, date FROM c UNION ALL SELECT id, date_source, date FROM e WHERE id NOT IN (SELECT id FROM c)",
     "census_diff": """WITH u AS (SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'live only' WHEN d.doc_id IS NULL THEN 'stored only' ELSE 'both' END AS side
 FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id) SELECT side, count(*) AS n, min(id) AS least FROM u GROUP BY 1""",

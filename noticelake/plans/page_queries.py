@@ -117,10 +117,10 @@ def site_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as numbered navigation links of one page a region."""
-    n = table(spark, sf_dir, "nation")
-    link = F.concat(F.lit("<a href='/n"), "n_nationkey", F.lit("'> "), "n_regionkey", F.lit("-"), "n_nationkey", F.lit(" . "), "n_name", F.lit("行事曆</a><a href='/x'>plain</a>"))
-    found = extract.outline_rows(n.select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("http://h/").alias("url"), link.alias("html")))
+    """Page numbers as numbered navigation links, before the page's own links."""
+    p, n = _pages(spark, sf_dir), F.regexp_extract("url", r"/(\d+)", 1)
+    link = F.concat(F.lit("<a href='/n"), n, F.lit("'> 1-"), n, F.lit(" . Plan "), n, F.lit(" 行事曆</a>"), "html")
+    found = extract.outline_rows(p.select("page_id", "url", link.alias("html")))
     return found.select("page_id", "outline", "label", "href", "is_calendar")
 
 
@@ -169,8 +169,9 @@ _NUM = r"regexp_extract(url, '/(\d+)', 1)"
 _DAY = "(DATE '2024-04-01' + CAST(page_id % 100 AS INTEGER))"
 _ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 ORACLE_SQL = {
-    "outline_rows": """SELECT CAST(n_nationkey AS BIGINT) AS page_id, n_regionkey || '-' || n_nationkey AS outline, n_name || '行事曆' AS label, '/n' || n_nationkey AS href, true AS is_calendar FROM nation
-UNION ALL SELECT n_nationkey, '', 'plain', '/x', false FROM nation""",
+    "outline_rows": f"""WITH {_LINKS}, o AS (SELECT *, regexp_extract(label, '^(\\d+(?:-\\d+)*)\\s*[.、．]\\s*(.+)$', 1) AS outline FROM l)
+SELECT page_id, '1-' || {_NUM} AS outline, 'Plan ' || {_NUM} || ' 行事曆' AS label, '/n' || {_NUM} AS href, true AS is_calendar FROM pages
+UNION ALL SELECT page_id, outline, CASE WHEN outline = '' THEN label ELSE trim(regexp_extract(label, '^(\\d+(?:-\\d+)*)\\s*[.、．]\\s*(.+)$', 2)) END, href, contains(label, '行事曆') FROM o""",
     "raw_category_links": f"SELECT {_ORIGIN} || '/p/403-1-' || {_NUM} || '-1.php' AS url FROM pages UNION SELECT 'http://h/p/403-1-' || s_suppkey || '-1.php' FROM supplier",
     "tab_links": f"SELECT page_id, 'Tab ' || {_NUM} AS label, {_NUM} AS number, {_ORIGIN} || '/p/403-7-' || {_NUM} || '-1.php' AS list_url, {_NUM} AS numbers FROM pages",
     "gap_order": f"SELECT url, {_NUM} AS category FROM pages",

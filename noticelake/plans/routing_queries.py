@@ -1,13 +1,11 @@
 """Queries that route announcements, audit coverage, build calendars and keep notification watermarks, in batch and as streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calendar, graph, merge, notify, quality, routing
 from ..streaming import runs
+from ..sources.folders import work_dir
 from .views import ANN, announcements, table
 
 TOPIC = "notices"
@@ -128,15 +126,15 @@ def preflight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as pages; part names with a word are out."""
+    """Parts as pages; names with the second word of a part, from p on, are out."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("page"), F.col("l_orderkey").alias("article"))
     pages = quality.page_overlap(li).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.col("p_name").alias("name")), "page")
-    words = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word")).distinct().orderBy("word").limit(1)
+    words = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word")).where("word >= 'p'").distinct()
     return routing.exclude_pages(pages.withColumn("only_common", F.lit(False)), words).select("page", "articles", "exclusive")
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J11, P16."""
+    """J11."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     users = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     return routing.cascade_delete(o, users)
@@ -162,7 +160,7 @@ def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def public_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P13, S6."""
+    """P13."""
     return calendar.public_events(_events(spark, sf_dir)).select("id", "date", "endDate", "kind", "sourceLabel")
 
 
@@ -212,8 +210,17 @@ def advance_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def migrate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties as state documents without a version: all start now."""
-    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("subscriber"), F.col("props").alias("value"))
+    """Events as stored documents: of version 3 (readable or not), older, plain lists, and without a version."""
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    kind = F.col("event_type")
+    own = F.concat(F.lit('["e'), "event_id", F.lit('", "e'), "event_id", F.lit('", "", "u'), "user_id", F.lit('"]'))
+    value = (
+        F.when(kind == "click", F.concat(F.lit('{"version": 3, "notifiedIds": '), own, F.lit(', "notifiedThrough": "'), day, F.lit('"}')))
+        .when(kind == "view", F.concat(F.lit('{"version": 3, "notifiedIds": '), own, F.lit(', "notifiedThrough": "soon"}')))
+        .when(kind == "purchase", F.concat(F.lit('{"version": 2, "notifiedIds": '), own, F.lit(', "notifiedThrough": "'), day, F.lit('"}')))
+        .when(kind == "signup", own).otherwise(F.col("props"))
+    )
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("subscriber"), value.alias("value"))
     after = notify.migrate_state(docs, F.lit("2024-06-01 00:00:00").cast("timestamp"))
     return after.select("subscriber", F.size("notified_ids").alias("kept"), F.date_format("notified_through", _DAY).alias("through"))
 
@@ -224,14 +231,9 @@ def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notify.supersede(li, ["l_orderkey"], "l_linenumber")
 
 
-def _work(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='noticelake-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as file drops; an order is new once."""
-    work = _work(spark)
+    work = work_dir(spark, "stream")
     source = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
     source.repartition(8, "id").write.parquet(f"{work}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 3).parquet(f"{work}/in")
@@ -240,8 +242,8 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as file drops in order of time; what was delivered."""
-    work = _work(spark)
+    """Events as file drops in order of time; what was delivered."""
+    work = work_dir(spark, "stream")
     items, subs, _ = _notify_tables(spark, sf_dir)
     day = items.withColumn("data_source", F.when(F.contains("text", F.lit("error")), "cache").otherwise("network"))
     day.repartitionByRange(4, "first_seen").sortWithinPartitions("first_seen").write.parquet(f"{work}/in")
@@ -250,9 +252,9 @@ def stream_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/deliveries").groupBy("subscriber").agg(F.count("*").alias("n"))
 
 
-def drained_outboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All accounts' mutations as file drops, applied up to each one's first error."""
-    work = _work(spark)
+def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts' mutations as file drops, applied up to each one's first error."""
+    work = work_dir(spark, "stream")
     e = table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
     rows = e.select(user.alias("owner"), user.alias("account_id"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), "event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
@@ -261,15 +263,8 @@ def drained_outboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/out").select("account_id", "seq", "id")
 
 
-def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drains every account; the rows are those of the one that the SQL names."""
-    sent = drained_outboxes(spark, sf_dir)
-    shown = table(spark, sf_dir, "events").agg(F.min(F.col("user_id").cast("string")).alias("account_id"))
-    return sent.join(F.broadcast(shown), "account_id", "left_semi")
-
-
 def merge_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two devices' subscriptions, reads and preferences of users, merged; rows by kind."""
+    """Two devices' subscriptions, reads and preferences of users, merged; rows by kind."""
     e = table(spark, sf_dir, "events")
     when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -306,8 +301,8 @@ _EV = "ev AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderdate AS d
 _NOTIFY = """u AS (SELECT user_id, min(ts) AS created, max(CASE WHEN event_type = 'signup' THEN ts END) AS through, arg_max(event_id, ts) AS last FROM events GROUP BY 1),
 c AS (SELECT u.user_id, 'e' || event_id AS id, ts FROM u, events e WHERE e.event_type = 'purchase' AND e.ts > greatest(created, coalesce(through, created)) AND e.event_id <> u.last)"""
 ORACLE_SQL = {
-    "stream_outbox": """WITH o AS (SELECT min(CAST(user_id AS VARCHAR)) AS u FROM events), e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
-OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f FROM events WHERE CAST(user_id AS VARCHAR) = (SELECT u FROM o))
+    "stream_outbox": """WITH e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
+OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f FROM events)
 SELECT CAST(user_id AS VARCHAR) AS account_id, event_id AS seq, 'm' || event_id AS id FROM e WHERE f = 0""",
     "merge_account": """WITH k AS (SELECT DISTINCT user_id, event_type FROM events), t AS (SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS latest FROM events GROUP BY 1),
 c AS (SELECT user_id, count(*) AS n FROM k GROUP BY 1)
@@ -344,7 +339,7 @@ UNION ALL SELECT school, 'source', url FROM (SELECT s_nationkey AS school, s_nam
 UNION ALL SELECT c_nationkey, 'item', arg_min(c_name, c_custkey) FROM customer GROUP BY 1""",
     "exclude_pages": """WITH p AS (SELECT DISTINCT l_partkey AS page, l_orderkey AS article FROM lineitem), q AS (SELECT *, count(*) OVER (PARTITION BY article) AS n FROM p),
 s AS (SELECT page, count(*) AS articles, count(*) FILTER (WHERE n = 1) AS exclusive FROM q GROUP BY 1)
-SELECT page, articles, exclusive FROM s JOIN part ON page = p_partkey WHERE exclusive > 0 AND NOT contains(p_name, (SELECT min(split_part(p_name, ' ', 2)) FROM part))""",
+SELECT page, articles, exclusive FROM s JOIN part ON page = p_partkey WHERE exclusive > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part) x WHERE word >= 'p' AND contains(part.p_name, word))""",
     "cascade_delete": "SELECT o_orderkey, o_custkey AS user_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "hierarchy_path": "SELECT c_custkey AS id, r_name || ' > ' || n_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "feed_rows": f"""WITH {_EV} SELECT date, strftime(d, '%Y%m%d') || '-' || left(md5(date || '|[' || school || '] ' || title), 12) AS uid, strftime(d, '%Y%m%d') || 'T000000Z' AS dtstamp,
@@ -361,7 +356,8 @@ SELECT strftime(g.day, '%Y-%m-%d') AS day, month(g.day) <> 5 AS outside, coalesc
     "advance_watermark": f"""WITH {_NOTIFY}, d AS (SELECT user_id, count(*) AS n, max(ts) AS latest FROM c GROUP BY 1)
 SELECT CAST(u.user_id AS VARCHAR) AS subscriber, CAST(least(coalesce(n, 0) + 1, 500) AS INTEGER) AS kept,
 strftime(greatest(coalesce(through, latest), coalesce(latest, through)), '%Y-%m-%d %H:%M:%S.%f') AS through FROM u LEFT JOIN d ON u.user_id = d.user_id""",
-    "migrate_state": "SELECT CAST(event_id AS VARCHAR) AS subscriber, 0 AS kept, '2024-06-01' AS through FROM events",
+    "migrate_state": """SELECT CAST(event_id AS VARCHAR) AS subscriber, CASE WHEN event_type = 'error' THEN 0 ELSE 2 END AS kept,
+CASE WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d') ELSE '2024-06-01' END AS through FROM events""",
     "supersede": """SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE l_linenumber = m""",
     "stream_dedupe": "SELECT DISTINCT l_orderkey AS id FROM lineitem",
     "stream_notify": f"""WITH {_NOTIFY} SELECT CAST(u.user_id AS VARCHAR) AS subscriber, count(*) AS n FROM u, events e WHERE e.event_type = 'purchase' AND e.ts > created GROUP BY 1""",

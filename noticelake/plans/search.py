@@ -172,6 +172,10 @@ SELECT url, tier, round(age, 3) AS age_hours FROM a WHERE tier = 'hot' OR age IS
 FROM ann GROUP BY 1, 2""",
     "important_top": f"""WITH {ANN} SELECT id, {_DAY} AS display_date FROM ann JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0
 ORDER BY {_DAY} DESC, first_seen DESC, id LIMIT 3""",
+    # a text's UTF-8 bytes read as Latin-1 match where it has a character of two bytes up to U+00FF, or of three with a first byte E2, E4, E5 or E6
+    "mojibake": r"""SELECT kind, id, regexp_matches(text, '[\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f]|[ÃÂ][\x{80}-\x{bf}]|â[\x{80}-\x{bf}]{2}|[äæå][\x{80}-\x{bf}]\S') AS damaged,
+regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]|[\x{80}-\x{ff}]|[\x{2000}-\x{2fff}]|[\x{4000}-\x{6fff}]') AS misread
+FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)""",
     "quality_profile": f"""WITH {ANN} SELECT count(*) AS "rows", count(*) - count(DISTINCT id) AS duplicate_ids, count(*) FILTER (WHERE title = '') AS empty_titles,
 count(*) FILTER (WHERE snippet = '') AS empty_snippets, count(*) FILTER (WHERE contains(title, chr(65533))) AS replacement_chars, CAST(0 AS BIGINT) AS bad_urls,
 count(*) FILTER (WHERE left(coalesce(date, ''), 4) > '2026') AS future_dates, count(*) FILTER (WHERE id = '') AS empty_ids,

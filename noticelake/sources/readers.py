@@ -65,6 +65,12 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return sources_from_config(raw.select(F.col("s.id").alias("school"), "s.scan_pages", F.to_json("s.list_pages").alias("list_pages")))
 
 
+def read_ignored(spark: SparkSession, path: str) -> DataFrame:
+    """(school, cat_ref) that coverage leaves out, from a JSON document {coverage_ignore: {school: [cat_ref, ...]}}."""
+    listed = _json(spark, path, "coverage_ignore MAP<STRING, ARRAY<STRING>>").select(F.explode("coverage_ignore").alias("school", "refs"))
+    return listed.select("school", F.explode("refs").alias("cat_ref")).distinct()
+
+
 def fetch_state(documents: DataFrame) -> DataFrame:
     """(url, fetched_at) from rows with a JSON map in `value`; a bad document is an empty map, a bad time a null."""
     entries = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias("url", "t"))
@@ -85,9 +91,9 @@ def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Curated events with a date and a title, by date."""
+    """Curated events with a date and a title."""
     rows = _json(spark, path, schemas.EVENTS)
-    return rows.where((F.col("date") != "") & (F.col("title") != "")).orderBy("date", "title")
+    return rows.where((F.col("date") != "") & (F.col("title") != ""))
 
 
 def read_official_events(spark: SparkSession, path: str) -> DataFrame:
@@ -95,10 +101,11 @@ def read_official_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("date") != "") & (F.col("title") != "") & (F.col("provenance") != ""))
 
 
-def read_user_state(spark: SparkSession, folder: str, user_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Subscriptions, reads and preferences of one owner; a missing table fails the whole read."""
+def read_user_state(spark: SparkSession, folder: str, user_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Subscriptions, reads and preferences of one owner, or of all; a missing table fails the whole read."""
     tables = (("user_subscriptions", schemas.USER_SUBSCRIPTIONS), ("user_reads", schemas.USER_READS), ("user_preferences", schemas.USER_PREFERENCES))
-    return tuple(spark.read.schema(s).parquet(f"{folder}/{t}").where(F.col("user_id") == user_id) for t, s in tables)
+    whose = F.lit(True) if user_id is None else F.col("user_id") == user_id
+    return tuple(spark.read.schema(s).parquet(f"{folder}/{t}").where(whose) for t, s in tables)
 
 
 def read_stored_ids(spark: SparkSession, path: str) -> DataFrame:

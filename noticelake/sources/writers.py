@@ -1,8 +1,9 @@
 """Sinks (K1-K8): versioned tables behind checks, and deterministic exports."""
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge, quality
@@ -13,7 +14,7 @@ def current_version(spark: SparkSession, folder: str) -> str | None:
     from pyspark.errors import AnalysisException
 
     try:
-        newest = spark.read.schema("version LONG, path STRING").parquet(f"{folder}/_pointer").orderBy(F.desc("version")).first()
+        newest = spark.read.schema("version LONG, path STRING").parquet(f"{folder}/_pointer").orderBy(F.desc("version"), F.desc("path")).first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -21,24 +22,31 @@ def current_version(spark: SparkSession, folder: str) -> str | None:
     return newest["path"] if newest else None
 
 
-def _next_version(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> str:
-    """Write `df` beside the older versions, then point to it: readers see the old or the new table, never a mix."""
+def _next_version(df: DataFrame, folder: str, partition_by: Sequence[str] = (), check: Callable[[DataFrame], None] | None = None) -> str:
+    """Write `df` beside the older versions, check what was written, then point to it: readers see the old or the new
+    table, never a mix. A version that fails its check stays unseen. Writers at the same time write apart, and the
+    pointer of the later version (of equal ones, the larger path) counts.
+    """
     spark = df.sparkSession
     old = current_version(spark, folder)
-    version = int(old.rsplit("v", 1)[1]) + 1 if old else 1
-    path = f"{folder}/v{version}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    version = int(old.rsplit("/v", 1)[1].split("-")[0]) + 1 if old else 1
+    path = f"{folder}/v{version}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    if check:
+        check(spark.read.parquet(path))
     spark.createDataFrame([(version, path)], "version LONG, path STRING").coalesce(1).write.mode("append").parquet(f"{folder}/_pointer")
     return path
 
 
 def write_snapshot(items: DataFrame, folder: str, cutoff: str, max_items: int = quality.MAX_ITEMS) -> str:
-    """Announcements by tier (recent, archive), only after all checks have passed."""
-    split = merge.split_recent(items, cutoff)
-    quality.require_keys(items, "snapshot")
-    quality.require_capacity(items, max_items)
-    quality.require_lossless(items, split)
-    return _next_version(split, folder, ["tier"])
+    """Announcements by tier (recent, archive), published only after what was written has passed all checks."""
+
+    def check(written: DataFrame) -> None:
+        quality.require_keys(written, "snapshot")
+        quality.require_capacity(written, max_items)
+        quality.require_lossless(items, written)
+
+    return _next_version(merge.split_recent(items, cutoff), folder, ["tier"], check)
 
 
 def write_new_items(items: DataFrame, path: str) -> None:
@@ -64,12 +72,15 @@ def write_audit_report(report: DataFrame, path: str, order: Sequence[str]) -> No
 
 
 def append_deliveries(deliveries: DataFrame, path: str) -> None:
+    """Messages (topic, title, body, click) for the push service to take."""
     deliveries.select("topic", "title", "body", "click").write.mode("append").parquet(path)
 
 
-def upsert_user_rows(rows: DataFrame, folder: str, keys: Sequence[str], owner: str) -> str:
-    """Insert or replace by key under the verified owner, whatever user_id the rows carry; a server id is dropped."""
+def upsert_user_rows(rows: DataFrame, folder: str, keys: Sequence[str], owner: str | Column) -> str:
+    """Insert or replace by key under the verified owner (one for all, or a column), whatever user_id the rows carry; a
+    server id is dropped.
+    """
     spark, path = rows.sparkSession, current_version(rows.sparkSession, folder)
-    owned = rows.drop("id").withColumn("user_id", F.lit(owner))
+    owned = rows.drop("id").withColumn("user_id", F.lit(owner) if isinstance(owner, str) else owner)
     old = spark.read.parquet(path) if path else spark.createDataFrame([], owned.schema)
     return _next_version(merge.upsert_by_key(old, owned, keys), folder)

@@ -14,14 +14,27 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..operators import merge, notify
 
 
-def _stored(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
+def _stored(spark: SparkSession, folder: str, schema: str, before: int, drop: bool = True) -> DataFrame:
     """Rows of the batches before this one."""
     try:
-        return spark.read.schema(f"{schema}, batch LONG").parquet(folder).where(F.col("batch") < before).drop("batch")
+        rows = spark.read.schema(f"{schema}, batch LONG").parquet(folder).where(F.col("batch") < before)
+        return rows.drop("batch") if drop else rows
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema if drop else f"{schema}, batch LONG")
+
+
+def _state_before(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
+    """The snapshot that the last batch before this one left: one folder is read, whatever the number of batches."""
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/batch={before - 1}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    older = _stored(spark, folder, schema, before, drop=False)
+    last = older.agg(F.max("batch")).first()[0]  # a column of folder names
+    return older.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
 
 
 def _replace_batch(df: DataFrame, folder: str, batch: int) -> None:
@@ -32,7 +45,9 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, transform: Callable[
     """Append to the table at `folder` what each batch, transformed, has under keys never seen before; one run over what is there."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = merge.dedupe_by_id(transform(batch).withColumn("__seq", F.monotonically_increasing_id()), key, "__seq").drop("__seq")
+        rows = transform(batch)
+        content = F.struct(F.xxhash64(*rows.columns), F.to_json(F.struct(*rows.columns)))  # a repeated batch keeps the same row
+        rows = merge.dedupe_by_id(rows.withColumn("__seq", content), key, "__seq").drop("__seq")
         schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
         _replace_batch(merge.new_items(rows, _stored(batch.sparkSession, folder, schema, number), key), folder, number)
 
@@ -48,15 +63,13 @@ def notify_stream(items: DataFrame, subscriptions: DataFrame, folder: str, check
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        states = _stored(spark, f"{folder}/state", f"{state_schema}, n LONG", number)
-        newest = states.agg(F.max("n")).first()[0]
-        state = states.where(F.col("n") == (newest if newest is not None else -1)).drop("n")
+        state = _state_before(spark, f"{folder}/state", state_schema, number)
         rows = notify.fresh_only(batch) if "data_source" in batch.columns else batch
         found = notify.notify_candidates(rows, subscriptions, state).persist()
         if send:
             send(found)
         _replace_batch(found, f"{folder}/deliveries", number)
-        _replace_batch(notify.advance_watermark(state, found).withColumn("n", F.lit(number).cast("long")), f"{folder}/state", number)
+        _replace_batch(notify.advance_watermark(state, found), f"{folder}/state", number)
         found.unpersist()
 
     return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -80,4 +93,4 @@ def drain_outbox(mutations: DataFrame, owner: str | Column, folder: str, checkpo
 def latest_state(spark: SparkSession, folder: str) -> DataFrame:
     """The state that the last batch left."""
     states = spark.read.parquet(f"{folder}/state")
-    return states.join(F.broadcast(states.agg(F.max("n").alias("n"))), "n", "left_semi").drop("n", "batch")
+    return states.where(F.col("batch") == states.agg(F.max("batch")).first()[0]).drop("batch")
