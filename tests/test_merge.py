@@ -171,12 +171,58 @@ def test_failed_delivery_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/w/deliveries").count() == 1
 
 
-def test_keywords_by_grams_equal_broadcast(spark, monkeypatch):
-    texts = spark.createDataFrame([(i, f"text {i} with word{i % 7} and ab") for i in range(50)], "id long, text string")
-    words = spark.createDataFrame([("word3",), ("ab",), ("with word",), ("zzz",), (" ",)], "keyword string")
-    direct = sorted(map(tuple, routing.keyword_match(texts, words, "id").collect()))
-    monkeypatch.setattr(routing, "BROADCAST_KEYWORDS", 2)
-    assert sorted(map(tuple, routing.keyword_match(texts, words, "id").collect())) == direct and direct
+@pytest.mark.parametrize(("few", "broadcast"), [(32, 100), (0, 100), (0, 0)])
+def test_keywords_on_every_path(spark, monkeypatch, few, broadcast):
+    """Searched one by one, by broadcast hashes and by shuffled ones: as a plain loop finds them."""
+    rows = [(i, f"text {i} with word{i % 7} and ab é{i % 3}ç") for i in range(60)] + [(100, None), (101, ""), (102, "é"), (103, "ab"), (104, "aaaaaaaaaa" * 50)]
+    words = ["word3", "AB", " with word ", "zzz", " ", "é", "é2", "and ab é1ç", "aaaaaaa", "text 5 with word5 and", None, "ab", "x"]
+    monkeypatch.setattr(routing, "FEW_KEYWORDS", few)
+    monkeypatch.setattr(routing, "BROADCAST_KEYWORDS", broadcast)
+    keywords = spark.createDataFrame([(w, n % 2) for n, w in enumerate(words)], "keyword string, prio int")
+    found = routing.keyword_match(spark.createDataFrame(rows, "id long, text string"), keywords, "id").collect()
+    known = {(w.strip().lower(), n % 2) for n, w in enumerate(words) if w and w.strip()}
+    assert sorted(map(tuple, found)) == sorted((i, w, n) for i, t in rows for w, n in known if t and w in t)
+
+
+def test_watermark_keeps_the_last_ids(spark):
+    import random
+
+    rng = random.Random(3)
+    for keep in (1, 3, 5):
+        old = {f"s{i}": [f"i{n}" for n in rng.sample(range(12), rng.randint(0, keep))] for i in range(6)}
+        sent = [(f"s{rng.randint(0, 7)}", f"i{rng.randint(0, 11)}", f"2024-01-{rng.randint(1, 9):02d}") for _ in range(60)]
+        state = _state(spark, [(s, ids, None) for s, ids in old.items()])
+        delivered = spark.createDataFrame(sent, "subscriber string, id string, first_seen string").withColumn("first_seen", F.to_timestamp("first_seen"))
+        got = {r["subscriber"]: r["notified_ids"] for r in notify.advance_watermark(state, delivered, keep).collect()}
+        for s in {*old, *(x[0] for x in sent)}:
+            first = {}
+            for _, i, t in sorted((x for x in sent if x[0] == s), key=lambda x: x[2]):
+                first.setdefault(i, t)
+            new = [i for i, _ in sorted(first.items(), key=lambda x: (x[1], x[0])) if i not in old.get(s, [])]
+            assert got[s] == [*old.get(s, []), *new][-keep:]
+
+
+def test_streams_read_one_state_snapshot(spark, tmp_path):
+    """Many batches leave a snapshot each; a batch reads the one before it, also when numbers are missing."""
+    schema = "subscriber STRING, notified_ids ARRAY<STRING>, notified_through TIMESTAMP"
+    assert runs._state_before(spark, f"{tmp_path}/state", schema, 0).count() == 0
+    for n in (0, 1, 2, 5):
+        _state(spark, [("s", [f"i{n}"], None)]).write.parquet(f"{tmp_path}/state/batch={n}")
+    for before, wanted in ((1, "i0"), (3, "i2"), (5, "i2"), (6, "i5"), (9, "i5")):
+        rows = runs._state_before(spark, f"{tmp_path}/state", schema, before)
+        assert rows.first()["notified_ids"] == [wanted]
+    assert all("/batch=5/" in f for f in runs._state_before(spark, f"{tmp_path}/state", schema, 6).inputFiles())
+
+
+def test_repeated_batches_choose_the_same_row(spark, tmp_path):
+    rows = spark.createDataFrame([(1, x) for x in "edcba"] + [(2, "z")], "id int, v string")
+    found = set()
+    for turn, parts in enumerate((1, 3)):
+        rows.repartition(parts).write.parquet(f"{tmp_path}/in{turn}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in{turn}")
+        runs.ingest(stream, f"{tmp_path}/t{turn}", f"{tmp_path}/cp{turn}", lambda r: r).awaitTermination()
+        found.add(tuple(sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t{turn}").select("id", "v").collect())))
+    assert len(found) == 1 and len(next(iter(found))) == 2
 
 
 def test_delivery_plan_small_batch(spark):

@@ -1,5 +1,7 @@
 """Each registered query outside the training-data subpackage against its SQL."""
 
+import sys
+
 import pytest
 
 import __spark_entry__
@@ -31,3 +33,11 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["id", "title", "display_date", "remaining"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_registry_without_the_training_data_libraries(monkeypatch):
+    for name in [n for n in sys.modules if n.startswith("noticelake.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("xxhash", "noticelake.llm.simhash"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(__spark_entry__.queries()) == set(QUERIES)
