@@ -1,7 +1,8 @@
 """Column expressions on texts, URLs, dates and user state."""
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,9 +70,8 @@ def resolve_url(base: Column, href: Column) -> Column:
 
 
 def contains_any(text: Column, keywords: Iterable[str]) -> Column:
-    """Whether any keyword is a substring: one alternation of the quoted words. None: false."""
-    words = [re.escape(k) for k in keywords if k]
-    return text.rlike("|".join(words)) if words else F.lit(False)
+    """Whether any keyword is a substring; none: false. Plain searches are faster than an alternation of patterns."""
+    return reduce(or_, [F.contains(text, F.lit(k)) for k in keywords if k], F.lit(False))
 
 
 def classify(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = CATEGORY_RULES, default: str = DEFAULT_CATEGORY) -> Column:

@@ -146,35 +146,50 @@ def _anchors(text: Column, lengths: Sequence[int]) -> Column:
     return F.get(F.transform(F.array(chars), lambda c: F.array_distinct(F.concat(*[hashes(c, n) for n in lengths]))), 0)
 
 
+def _meet(texts: DataFrame, anchors: Column, words: DataFrame, keys: list[str], kept: list[str], small: bool) -> DataFrame:
+    """Texts with the `words` (keyword, __anchor, ...) whose anchor they have and that they hold."""
+    found = F.contains("text", F.col("keyword"))
+    if small:
+        met = texts.select(*keys, "text", F.explode_outer(anchors).alias("__anchor")).join(F.broadcast(words), "__anchor")
+        return met.where(found).select(*kept)
+    salted = words.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = texts.select(*keys, F.explode_outer(anchors).alias("__anchor")).withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    met = met.join(salted, ["__anchor", "__salt"]).select(*kept)
+    return met.join(texts.select(*keys, "text"), keys).where(found).select(*kept)
+
+
 def keyword_match(texts: DataFrame, keywords: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """(key columns, the columns of keywords) wherever the lower-cased keyword (trimmed, not blank) is a substring of `text`.
 
-    texts: one row a key. Up to FEW_KEYWORDS every text is searched for each keyword. Beyond, a keyword is known by the
-    hash of one of its substrings of ANCHOR characters (all of it, if it is shorter): texts meet keywords by the hashes
-    of their own substrings, and what meets is searched. Up to BROADCAST_KEYWORDS the keywords are broadcast; beyond, keys
-    and hashes alone are shuffled, with keywords in SALTS copies, so that a frequent substring isn't one task's work.
+    texts: one row a key. Up to FEW_KEYWORDS every text is searched for each keyword. Beyond, texts meet keywords by an
+    anchor, and what meets is searched: the longest word inside a keyword, between two blanks, which a text that holds
+    it has between blanks, too; for keywords without one, if they aren't few, the hash of one of their substrings
+    of ANCHOR characters (of all, if they are shorter). Up to BROADCAST_KEYWORDS the keywords are broadcast; beyond,
+    keys and anchors alone are shuffled, with keywords in SALTS copies, so that a frequent anchor isn't one task's work.
     """
     words = keywords.withColumn("keyword", F.lower(F.trim("keyword"))).where("keyword <> ''").distinct()
     keys = [key] if isinstance(key, str) else list(key)
     kept = [*keys, *words.columns]
-    found = F.contains("text", F.col("keyword"))
     n = words.limit(BROADCAST_KEYWORDS + 1).count()
+
+    def each(few: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(few), F.contains("text", F.col("keyword"))).select(*kept)
+
     if n <= FEW_KEYWORDS:
-        return texts.join(F.broadcast(words), found).select(*kept)
+        return each(words)
+    parts = F.split("keyword", " ", -1)
+    inside = F.when(F.size(parts) > 2, F.slice(parts, 2, F.size(parts) - 2))
+    words = words.withColumn("__anchor", F.array_max(F.transform(inside, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    whole, rest = words.where("__anchor IS NOT NULL"), words.where("__anchor IS NULL").drop("__anchor")
+    met = _meet(texts, F.array_distinct(F.split("text", " ", -1)), whole, keys, kept, n <= BROADCAST_KEYWORDS)
+    if rest.limit(FEW_KEYWORDS + 1).count() <= FEW_KEYWORDS:
+        return met.unionByName(each(rest))
     length = F.least(F.length("keyword"), F.lit(ANCHOR))
-    lengths = sorted(r["n"] for r in words.select(length.alias("n")).distinct().collect())  # ANCHOR rows at most
+    lengths = sorted(r["n"] for r in rest.select(length.alias("n")).distinct().collect())  # ANCHOR rows at most
     anchor = F.lit(None).cast("long")
     for size in lengths:
         anchor = F.when(length == size, F.array_min(_anchors(F.col("keyword"), [size]))).otherwise(anchor)
-    words = words.withColumn("__anchor", anchor)
-    rows = texts.withColumn("__anchors", _anchors(F.col("text"), lengths))
-    if n <= BROADCAST_KEYWORDS:
-        met = rows.select(*keys, "text", F.explode_outer("__anchors").alias("__anchor")).join(F.broadcast(words), "__anchor")
-        return met.where(found).select(*kept)
-    salted = words.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.select(*keys, F.explode_outer("__anchors").alias("__anchor")).withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    met = met.join(salted.hint("shuffle_hash"), ["__anchor", "__salt"]).select(*kept)
-    return met.join(texts.select(*keys, "text"), keys).where(found).select(*kept)
+    return met.unionByName(_meet(texts, _anchors(F.col("text"), lengths), rest.withColumn("__anchor", anchor), keys, kept, n <= BROADCAST_KEYWORDS))
 
 
 def subscription_match(items: DataFrame, subscriptions: DataFrame, text: Column, key: str = "id") -> DataFrame:

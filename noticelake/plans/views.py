@@ -29,7 +29,8 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("snippet"), F.col("lang").alias("source_category"), seen.alias("first_seen"),
     )
     date = F.when(F.col("source_category") != "de", F.date_format("first_seen", "yyyy-MM-dd"))
-    return rows.withColumn("date", date).withColumn("category", classify(F.concat_ws(" ", "snippet", "source_category"), RULES, DEFAULT))
+    words = rows.withColumns({"date": date, "words": F.concat_ws(" ", "snippet", "source_category")})
+    return words.withColumn("category", classify(F.col("words"), RULES, DEFAULT)).drop("words")
 
 
 def case_sql(text: str) -> str:
