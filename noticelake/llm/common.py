@@ -1,38 +1,47 @@
 """Helpers shared by the operators: tables, the shared work folder, the hold-out split."""
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import work_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: See `join_apart`.
+HOT_KEYS = 1000
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Only where the session names none (tests, local mode) a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='noticelake-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/noticelake/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """`df` written to the shared folder and read back: lineage ends, and nothing is computed twice."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_apart(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of `rows`, a stored table, with `values` (key, n, others): one row a key, which n of the rows have.
+
+    Keys that more than one in HOT_KEYS of the `total` rows have, fewer than HOT_KEYS, are broadcast; a frequent
+    key is then no single task's work. All others meet by the key.
+    """
+    hot = F.broadcast(values.where(F.col("n") * HOT_KEYS > total).drop("n"))
+    cold = values.where(F.col("n") * HOT_KEYS <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` has it, in upper or lower case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
