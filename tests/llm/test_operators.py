@@ -6,7 +6,9 @@ import io
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -143,22 +145,182 @@ def test_line_dedup(spark):
     assert [r["n_dropped"] for r in line_dedup.drop_shared_lines(twice).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("hot_keys", [1000, 1])
+def test_line_dedup_against_a_loop(spark, monkeypatch, hot_keys):
+    """Frequent lines apart and not, other thresholds, helper names as columns, a long text."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    rng = random.Random(11)
+    lines = [f"line number {i} of the text" for i in range(12)] + ["short", "", "  LINE number 3 of the text\t"]
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(1, 9))) for _ in range(40)] + ["\n".join(["line number 1 of the text", "own"] * 3000)]
+    ids = [rng.randint(0, 25) for _ in texts]
+    df = docs(spark, texts, ids).withColumns({c: F.lit(c) for c in ("__did", "__lost", "did", "version", "lost", "lines", "first", "key")})
+    for least in (2, 4):
+        holders = {}
+        for d, t in zip(ids, texts, strict=True):
+            for line in t.split("\n"):
+                if len(k := line.strip(" \t").lower()) >= 10:
+                    holders.setdefault(k, set()).add(d)
+        lost = lambda d, x: len(h := holders.get(x.strip(" \t").lower(), ())) >= least and d > min(h)
+        wanted = sorted((d, "\n".join(x for x in t.split("\n") if not lost(d, x))) for d, t in zip(ids, texts, strict=True))
+        got = line_dedup.drop_shared_lines(df, min_documents=least)
+        assert got.columns == [c for c in df.columns if c not in ("text", "n_lines")] + ["text", "n_lines", "n_dropped"]
+        rows = got.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == wanted and all(r["did"] == "did" and r["__lost"] == "__lost" for r in rows)
+
+
+@pytest.mark.parametrize("hot_keys", [1000, 2])
+def test_hubs_and_frequent_payloads(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(warc, "HOT_KEYS", hot_keys)
+    star = [(0 if i % 2 else 500, i) for i in range(1, 300)] + [(500, 600), (600, 0)]
+    roots = components.components(spark.createDataFrame(star, "a long, b long")).collect()
+    assert {r["root"] for r in roots} == {0} and len(roots) == 302
+    html = ["y" * 150] * 40 + ["z" * 120] * 2 + ["short"] * 30 + [None] * 3
+    pages = spark.createDataFrame([(100 - i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["refers_to"] for r in warc.plan_revisits(pages).collect()}
+    assert len(got) == 75 and got[61] is None and got[59] is None and got[60] == 59
+    assert all(got[i] == 61 for i in range(62, 101)) and all(got[i] is None for i in range(26, 59))
+
+
+def test_url_filter_in_shards(spark):
+    """Many shards looked up in several passes; helper names as columns stay."""
+    rows = spark.range(4000).select(F.concat(F.lit("k"), F.col("id") % 3000).alias("key"), "id").withColumns({c: F.lit(c) for c in ("h1", "h2", "shard", "is_listed")})
+    listed = spark.range(0, 9000, 3).select(F.concat(F.lit("k"), "id").alias("key"))
+    for lookup_bytes in (1, 700, 1 << 20):
+        found = url_filter.mark_listed(rows, listed, 400, lookup_bytes).collect()
+        assert len(found) == 4000 and all(r["is_listed"] == (int(r["key"][1:]) % 3 == 0) for r in found)
+        assert all(r["h1"] == "h1" and r["h2"] == "h2" and r["shard"] == "shard" for r in found)
+
+
+def test_ftrl_step_equals_a_loop():
+    """One weight at a time, as the update is written down."""
+    rng = np.random.default_rng(4)
+    model = ftrl.FTRL(6, 3, l1=0.05)
+    z, n = np.zeros((6, 3)), np.zeros((6, 3))
+    for _ in range(40):
+        at, values, target = rng.permutation(6)[:3], rng.normal(size=3), np.eye(3)[rng.integers(3)]
+        w = np.zeros((6, 3))
+        for i in range(6):
+            for c in range(3):
+                if abs(z[i, c]) > model.l1:
+                    w[i, c] = -(z[i, c] - np.sign(z[i, c]) * model.l1) / ((model.beta + n[i, c] ** 0.5) / model.alpha + model.l2)
+        scores = [sum(v * w[i, c] for i, v in zip(at, values, strict=True)) for c in range(3)]
+        p = [np.exp(s) / sum(np.exp(x) for x in scores) for s in scores]
+        for i, v in zip(at, values, strict=True):
+            for c in range(3):
+                g = v * (p[c] - target[c])
+                z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / model.alpha * w[i, c]
+                n[i, c] += g * g
+        model.learn(at, values, target)
+        assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
+def test_letters():
+    assert not any(map(langid.has_letter, [None, "", "½", "12 ³", "Ⅷ 7", "...", "\u0301"])) and all(map(langid.has_letter, ["a", "½ é", "語", "ª"]))
+
+
+def _tables(spark):
+    return [{r[0]: r for r in spark.read.parquet(f"{DATA}/{t}.parquet").collect()} for t in ("documents", "labels")]
+
+
+def test_registered_queries(spark):
+    """The columns of the queries that have no SQL, row by row against plain loops over the tables."""
+    documents, _ = _tables(spark)
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in documents}
+    found = {r["doc_id"]: r for r in simhash.query(spark, DATA).collect()}
+    fps = [slow_fingerprint(r["text"]) for r in documents.values()]
+    least = slow_components(list(documents), fps)
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in found.items()} == {d: (f"{f:016x}", c) for d, f, c in zip(documents, fps, least, strict=True)}
+    found = {r["doc_id"]: r for r in langid.query(spark, DATA).collect()}
+    model = langid.train(langid.learnable(spark.read.parquet(f"{DATA}/documents.parquet")))
+    for d, row in documents.items():
+        r, counts = found[d], {}
+        text = (row["text"] or "").lower()
+        at, n = langid.ngram_counts(row["text"] or "")
+        assert n.sum() == sum(max(0, len(text) - k + 1) for k in langid.NGRAMS)
+        for i, c in zip(at.tolist(), n.tolist(), strict=True):
+            counts[i] = (1 + np.log(c)) * model.idf[i]
+        length = sum(v * v for v in counts.values()) ** 0.5
+        scores = [sum(v / length * float(model.weights[i, c]) for i, v in counts.items()) / model.temperature for c in range(len(model.languages))]
+        p = [1 / sum(np.exp(x - s) for x in scores) for s in scores]
+        assert r["held_out"] == held[d] and abs(r["score"] - max(p)) < 1e-4 and p[model.languages.index(r["lang_pred"])] > max(p) - 1e-4
+    found = {r["doc_id"]: r for r in quality.query(spark, DATA).collect()}
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    weights = quality.train(quality.training_rows(spark.read.parquet(f"{DATA}/documents.parquet"), labels))
+    for d, row in documents.items():
+        at, values = quality.features(row["text"])
+        score = 1 / (1 + np.exp(-sum(v * float(weights[i]) for i, v in zip(at.tolist(), values.tolist(), strict=True))))
+        assert found[d]["held_out"] == held[d] and abs(found[d]["score"] - score) < 1e-4 and found[d]["predicted"] == int(found[d]["score"] >= 0.7)
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    n_tokens = {d: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for d, r in documents.items()}
+    pieces = packing.query(spark, DATA).collect()
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(pieces[0].asDict())
+    assert all(r["doc_tokens"] == n_tokens[r["doc_id"]] for r in pieces) and sum(r["length"] for r in pieces) == sum(n_tokens.values())
+
+
+def test_nearest_query(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect() if r["embedding"] is not None}
+    fine = {i: v for i, v in rows.items() if np.isfinite(v).all() and v.any()}
+    ids, x = np.array(sorted(fine)), np.stack([fine[i] / np.sqrt(fine[i] @ fine[i]) for i in sorted(fine)])
+    found = {}
+    for r in ann.query(spark, DATA).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {int(i) for i in ids if i % 50 == 0}
+    for q, got in found.items():
+        s = np.round(x @ x[int(np.flatnonzero(ids == q)[0])], ann.DECIMALS - 2)
+        s[ids == q] = -9
+        best = np.lexsort((ids, -s))[:5]
+        assert [v for _, v, _ in sorted(got)] == ids[best].tolist() and np.allclose([c for _, _, c in sorted(got)], s[best])
+
+
 BENCH = "Anna Bell bought 12 kg of apples in Paris and gave 12 of them to Anna near the old mill."
+SHORT = "What is the capital city of France"
+DIGITS = "12 34 56 78 90 11 13 15 17"
+ITEMS = [(1, BENCH), (2, None), (3, "too short"), (4, ""), (1, BENCH), (5, SHORT), (6, DIGITS), (7, "How far is seven km plus 5%")]
 
 
 def test_decontamination(spark):
-    bench = spark.createDataFrame([(1, "So " + BENCH), (2, None), (3, "too short"), (4, ""), (1, "So " + BENCH)], "item_id long, text string").withColumn("doc_id", F.lit(9))
-    renamed = BENCH.replace("Anna", "Carla").replace("12", "77").replace("Paris", "Rome").replace("kg", "lb")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc_id", F.lit(9))
+    renamed = BENCH.replace("Anna Bell", "Carla").replace("Anna", "Carla").replace("12", "77").replace("Paris", "New York").replace("kg", "lb")
     inconsistent = "we saw that Carla Bell bought 12 kg of apples in Paris and gave 13 of them to Anna near the"
-    texts = ["x y z. so " + BENCH, "He said, so " + renamed, inconsistent, "nothing at all of the kind is written in this text", None, "", "A B C D E F G H I J K L M N O P Q"]
+    texts = [
+        "x y z. " + BENCH, "He said:\n" + renamed, inconsistent, "nothing at all of the kind is written in this text", None, "", "A B C D E F G H I J K L M N O P Q",
+        f"He asked: {SHORT}? No.", "so what is the capital city of Spain now", "What is the capital city", "a table 1 2 3 4 5 6 7 8 9 0", f"and {DIGITS} too", "too short", "how far is 12 miles plus nine percent",
+        "long " * 30000 + SHORT + " long" * 30000,
+    ]
     rows = decontaminate.contaminated(docs(spark, texts), bench).collect()
-    found = {r["doc_id"]: (r["item_id"], r["n_windows"], r["n_exact"]) for r in rows}
-    assert found[0][0] == 1 and found[0][2] > 0 and found[1][1] > found[1][2] == 0
-    assert set(found) <= {0, 1, 2} and found.get(2, (1, 0, 0))[1] < found[0][1]
-    assert {r["doc_id"] for r in decontaminate.clean_documents(docs(spark, texts), bench).collect()} == set(range(7)) - set(found)
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_exact"]) for r in rows}
+    assert found[0, 1] == (12, 12) and found[1, 1] == (12, 0)
+    assert 0 < found.pop((2, 1))[0] < 12
+    assert {k: v for k, v in found.items() if k[1] != 1} == {(7, 5): (1, 1), (8, 5): (1, 0), (11, 6): (2, 2), (13, 7): (1, 0), (14, 5): (1, 1)}
+    assert set(found) - {(0, 1), (1, 1)} == {(7, 5), (8, 5), (11, 6), (13, 7), (14, 5)}
+    left = {r["doc_id"] for r in decontaminate.clean_documents(docs(spark, texts).withColumn("bad", F.lit(1)), bench).collect()}
+    assert left == set(range(15)) - {0, 1, 2, 7, 8, 11, 13, 14}
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 == decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_against_sql(spark, tmp_path, monkeypatch, limit):
+    """Broadcast and shuffled windows, items of all lengths, against the query's SQL."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    rng = random.Random(6)
+    words = ["the", "sum", "of", "Anna", "Bell", "Paris", "12", "7", "seven", "kg", "km", "is", "What", "and", "1,5", "Über", "$", "%"]
+    items = [(i, t) for i, (_, t) in enumerate(ITEMS)] + [(100 + i, " ".join(rng.choices(words, k=rng.randint(1, 14)))) for i in range(40)]
+    texts = [*(t for t in EDGE if len(t or "") < 999), *(" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(60))]
+    for i in range(60):
+        new = [rng.choice(words) if rng.random() < 0.1 else w for w in str(items[i % len(items)][1]).split(" ")]
+        texts.append("so " + " ".join(new) + rng.choice([".", " " + BENCH, ""]))
+    docs(spark, texts, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = db.sql(decontaminate.ORACLE_SQL["op6_decontaminate"])
+    got = decontaminate.query(spark, str(tmp_path)).select(*found.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
+    assert len(got) > 50
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "http://A.Example.NET/en/x?y", "http://example.com/de/1", "http://myexample.com/de/1", "http://net", "http://x.net/", "http://x.org/fr/#a", "http://x.org/de/", "http://l/1?utm_source=a", "http://l/1", "http://l/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("key", "h1", "h2", "host", "path", "rule")})
@@ -201,6 +363,38 @@ def test_license_windows(spark):
     assert got == [("bsd", 1.0), ("mit", 1.0), ("mit", 1.0), ("", 0.0), ("bsd", 1.0), ("bsd,mit", 1.0), ("", 0.0), ("mit", 0.8)]
 
 
+def test_license_relatives(spark):
+    texts = [
+        "Licensed under CC BY 4.0", "Released under the GNU General Public License, version 2", "it was released under the license of the city",
+        "This work is licensed under the GNU General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3",
+        "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1", "Licensed under the Apache License,\n# Version 2.0 (the",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License",
+    ]
+    got = [r["labels"] for r in sorted(license_scan.scan(docs(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert got == ["cc-by", "gpl", "", "gpl,gpl-3.0", "gpl", "cc-by,cc-by-nc-4.0", "cc-by", "", "apache-2.0", ""]
+    with pytest.raises(ValueError):
+        license_scan.scan(docs(spark, texts), templates=[license_scan.Template("x", "some words", ("other",))])
+
+
+def test_license_windows_against_sql(spark, tmp_path):
+    """The query and its SQL over wrapped, repeated, long and related notices."""
+    rng = random.Random(8)
+    notices = [w for t in license_scan.TEMPLATES for w in [t.text] * 2]
+    texts = [*EDGE]
+    for _ in range(150):
+        parts = rng.choice(notices).split(" ")
+        parts = [rng.choice(["xx", "version", "license", "3", "nc"]) if rng.random() < 0.12 else p for p in parts if rng.random() > 0.08]
+        filler = " ".join(rng.choices(["the", "work", "a", "license", "of", "mit", "is"], k=rng.randint(0, 60)))
+        texts.append(filler + "\n" + rng.choice(["\n", " ", "\r\n * "]).join(parts) + " " + filler)
+    docs(spark, texts, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = db.sql(license_scan.ORACLE_SQL["op9_license_scan"])
+    got = license_scan.query(spark, str(tmp_path)).select(*found.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
+    assert sum(r["labels"] != r["base_labels"] for r in got) > 30
+
+
 def test_language(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.train(langid.learnable(df))
@@ -336,10 +530,44 @@ def test_cutting_stock():
     assert value == pytest.approx(1.5) and counts.tolist() == [2, 1]
 
 
+def _same_ids(encoder, texts):
+    ids, ends = encoder.encode(pa.array(texts))
+    wanted = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    return [t for t, a, b, w in zip(texts, [0, *ends[:-1]], ends, wanted, strict=True) if ids[a:b].tolist() != w.ids]
+
+
 def test_encoder_equals_tokenizer():
     encoder = packing.WordEncoder(packing.default_tokenizer(), cached_words=50)
+    assert encoder.by_words
     rng = random.Random(1)
-    texts = ["".join(rng.choice("aB'sS.,!1٣é́İΣ \n\x1c<|>Å…") for _ in range(rng.randint(0, 25))) for _ in range(800)] + ["a<|endoftext|>b", "'s'T 've", ""]
-    for _ in range(2):
-        for text, got in zip(texts, encoder.encode(texts), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    small = ["".join(rng.choice("aB'sS.,!1٣é́İΣ \n\x1c<|>Å…ज़") for _ in range(rng.randint(0, 25))) for _ in range(800)] + ["a<|endoftext|>b", "'s'T 've", ""]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wild = ["".join(rng.choice(every) if rng.random() < 0.3 else rng.choice("ab .,'S1J") for _ in range(12)) for _ in range(4000)]
+    for texts in (small, small, wild):
+        for at in range(0, len(texts), 100):
+            assert not _same_ids(encoder, texts[at : at + 100])
+
+
+def test_encoder_beside_every_character():
+    """Each character of Unicode (of the large scripts, some) after and before letters, digits and marks."""
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    some = [chr(c) for c in [*range(0x3400), *range(0x3400, 0xD800, 97), *range(0xE000, 0x20000, 3), *range(0x20000, 0x110000, 9973)]]
+    assert not _same_ids(encoder, [f"a{c}. {c}-1 J{c}'s 1{c}{c}x h{c}" for c in some])
+    for text in ("ज़.", "ड़-", "ਲ਼-", "שׁ."):
+        assert not _same_ids(encoder, [text])
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = packing.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    texts = ["It's  two words,\n12 é", None, "", "x" * 5000]
+    rows = packing.pack(docs(spark, texts), tokenizer=path).collect()
+    tokenizer = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_padding(spark):
+    rows = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit(0).alias("start"), F.when(F.col("id") % 3 == 0, 2048).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(2048))).alias("length"))
+    found = packing.assign(common.saved(rows, "lengths"))
+    r = found.agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("tokens"), F.count("*").alias("pieces")).first()
+    assert r["pieces"] == 30000 and r["n"] * 2048 <= r["tokens"] * 1.01
+    assert found.groupBy("sequence_id").agg(F.sum("length").alias("l")).where("l > 2048").count() == 0
