@@ -242,6 +242,13 @@ def delivery_plan(items: DataFrame, routed: DataFrame, personal: DataFrame, key:
     return own.unionByName(summary)
 
 
+def messages(plan: DataFrame, items: DataFrame, topic: str, key: str = "id", body_chars: int = 80) -> DataFrame:
+    """(topic, title, body, click) of a delivery plan, for the outbox: items by title, snippet and url; the summary goes to `topic`."""
+    told = items.select(key, "title", F.left(F.coalesce("snippet", F.lit("")), F.lit(body_chars)).alias("body"), F.col("url").alias("click"))
+    own = plan.where("kind = 'item'").join(told, key).select("topic", "title", "body", "click")
+    return own.unionByName(plan.where("kind = 'summary'").select(F.lit(topic).alias("topic"), F.col("topic").alias("title"), F.lit("").alias("body"), F.lit("").alias("click")))
+
+
 def used_categories(rules: DataFrame, items: DataFrame) -> DataFrame:
     """Categories of the rules (priority, category) that occur, in rule order."""
     return rules.groupBy("category").agg(F.min("priority").alias("priority")).join(items.select("category"), "category", "left_semi").orderBy("priority")

@@ -209,3 +209,4 @@ e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM f UNION ALL S
 r AS (SELECT 's' || min(l_suppkey) AS node, 0 AS depth FROM f UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
 SELECT node, min(depth) AS depth FROM r GROUP BY 1""",
 }
+ORACLE_SQL["article_bodies"] = ORACLE_SQL["page_snippets"]  # their bodies are article elements

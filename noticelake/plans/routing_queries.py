@@ -3,9 +3,11 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import calendar, graph, merge, notify, quality, routing
-from ..streaming import runs
+from ..sources import writers
 from ..sources.folders import work_dir
+from ..streaming import runs
 from .views import ANN, announcements, table
 
 TOPIC = "notices"
@@ -60,6 +62,22 @@ def delivery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("id", "topic", "kind")
 
 
+def delivery_plan_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 where no batch counts as a flood: the first items to all their topics."""
+    items = announcements(spark, sf_dir).withColumn("seq", F.col("doc_id"))
+    slugs = spark.createDataFrame(list(SLUGS), "category string, slug string")
+    routed, personal = routing.topic_routing(items, slugs, _groups(spark), TOPIC, _text()), routing.personal_topics(items, _groups(spark), TOPIC, _text())
+    return routing.delivery_plan(items, routed, personal, threshold=1 << 30).select("id", "topic", "kind")
+
+
+def outbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the messages of a flood's delivery plan, appended to the outbox and read back."""
+    path = work_dir(spark, "outbox")
+    items = announcements(spark, sf_dir).withColumn("url", F.concat(F.lit("http://x/"), "id"))
+    writers.append_deliveries(routing.messages(delivery_plan(spark, sf_dir), items, TOPIC), path)
+    return spark.read.schema(schemas.DELIVERIES).parquet(path).select("topic", "title", F.md5(F.col("body").cast("binary")).alias("body"), "click")
+
+
 def page_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: suppliers as pages of orders."""
     return quality.page_overlap(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("article")))
@@ -287,7 +305,7 @@ def union_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_outbox, merge_account, union_discovered,
+    stream_outbox, merge_account, union_discovered, delivery_plan_few, outbox_messages,
     subscription_match, benchmark_match, topic_routing, personal_topics, flood_summary, delivery_plan, page_overlap, coverage_ratio, coverage_gaps, census_summary, run_metrics, constraints,
     sweep_candidates, probe_candidates, known_flag, preflight_candidates, exclude_pages, cascade_delete, hierarchy_path, feed_rows, public_events, events_on, item_events, calendar_month,
     notify_candidates, advance_watermark, migrate_state, supersede, stream_dedupe, stream_notify,
@@ -316,6 +334,11 @@ SELECT doc_id, item_id FROM documents, b WHERE k <> '' AND contains(lower(text),
     "flood_summary": f"WITH {ANN} SELECT n, text FROM {_SUMMARY}",
     "delivery_plan": f"""WITH {ANN}, {_GROUPS_SQL}, {_PERSONAL}, f AS (SELECT id FROM m GROUP BY id ORDER BY min(doc_id) LIMIT 20)
 SELECT id, topic, 'item' AS kind FROM m WHERE id IN (SELECT id FROM f) UNION ALL SELECT NULL, text, 'summary' FROM {_SUMMARY}""",
+    "delivery_plan_few": f"""WITH {ANN}, {_GROUPS_SQL}, {_PERSONAL}, t AS (SELECT id, '{TOPIC}' AS topic FROM ann UNION SELECT id, {_SLUG} FROM ann UNION SELECT id, topic FROM m)
+SELECT id, topic, 'item' AS kind FROM t WHERE id IN (SELECT id FROM ann ORDER BY doc_id LIMIT 20)""",
+    "outbox_messages": f"""WITH {ANN}, {_GROUPS_SQL}, {_PERSONAL}, f AS (SELECT id FROM m GROUP BY id ORDER BY min(doc_id) LIMIT 20)
+SELECT m.topic, title, md5(left(snippet, 80)) AS body, 'http://x/' || m.id AS click FROM m JOIN ann ON m.id = ann.id WHERE m.id IN (SELECT id FROM f)
+UNION ALL SELECT '{TOPIC}', text, md5(''), '' FROM {_SUMMARY}""",
     "page_overlap": """WITH p AS (SELECT DISTINCT l_suppkey AS page, l_orderkey AS article FROM lineitem), q AS (SELECT *, count(*) OVER (PARTITION BY article) AS n FROM p)
 SELECT page, count(*) AS articles, count(*) FILTER (WHERE n = 1) AS exclusive FROM q GROUP BY 1""",
     "coverage_ratio": """WITH o AS (SELECT o_orderpriority AS school, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS k FROM orders)

@@ -7,7 +7,7 @@ from ..functions import text as X
 from ..operators import calendar, merge, quality, routing
 from ..sources import readers, writers
 from ..sources.folders import work_dir
-from .views import ANN, announcements, table
+from .views import table
 
 _DAY = "yyyy-MM-dd"
 KEYWORDS = ("thedst", " Boas", "")
@@ -175,16 +175,6 @@ def audit_report_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(spark, path, "page long, articles long, exclusive long")
 
 
-def outbox_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: each new announcement as a message to its category's topic, appended in two batches."""
-    path = work_dir(spark, "outbox")
-    ann = announcements(spark, sf_dir)
-    message = ann.select("doc_id", F.concat(F.lit("notices-"), "category").alias("topic"), "title", F.left("snippet", F.lit(80)).alias("body"), F.concat(F.lit("http://x/"), "id").alias("click"))
-    writers.append_deliveries(message.where("doc_id % 2 = 0"), path)
-    writers.append_deliveries(message.where("doc_id % 2 = 1"), path)
-    return spark.read.parquet(path).select("topic", "title", F.md5(F.col("body").cast("binary")).alias("body"), "click")
-
-
 def any_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with any of a user's keywords."""
     docs = table(spark, sf_dir, "documents")
@@ -227,7 +217,7 @@ def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     pages_read, snapshot_written, snapshot_read, sources_read, ignored_read, fetch_state_read, fetch_state_written, subscriptions_read, events_read, user_state_read,
-    new_items_written, coverage_gaps_written, calendar_feed_written, audit_report_written, outbox_written, any_keyword, owner_scope, tombstone, page_labels, relative_links,
+    new_items_written, coverage_gaps_written, calendar_feed_written, audit_report_written, any_keyword, owner_scope, tombstone, page_labels, relative_links,
 )}
 _LINKED = (("../x.php", "/a/x.php"), ("./y/../z/", "/a/b/z/"), ("../../../up?k=../v", "/up?k=../v"), ("d/./e/..", "/a/b/d/"), ("/r/../s#../t", "/s#../t"), ("..", "/a/"), ("?only", "/a/b/c.php?only"), ("#frag", "/a/b/c.php?q#frag"), ("plain", "/a/b/plain"))
 _OVERLAP = """WITH p AS (SELECT DISTINCT l_suppkey AS page, l_orderkey AS article FROM lineitem), q AS (SELECT *, count(*) OVER (PARTITION BY article) AS n FROM p)
@@ -254,7 +244,6 @@ FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "calendar_feed_written": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%Y%m%d') AS dtstart, strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m%d') AS dtend,
 '[' || o_orderpriority || '] Order ' || o_orderkey AS summary FROM orders""",
     "audit_report_written": _OVERLAP,
-    "outbox_written": f"WITH {ANN} SELECT 'notices-' || category AS topic, title, md5(left(snippet, 80)) AS body, 'http://x/' || id AS click FROM ann",
     "any_keyword": f"SELECT doc_id, lang FROM documents WHERE {' OR '.join(f'contains(lower(text), {k.strip().lower()!r})' for k in KEYWORDS if k.strip())}",
     "owner_scope": "SELECT o_orderkey, o_custkey % 50 AS user_id FROM orders WHERE o_custkey % 50 = o_orderkey % 50",
     "tombstone": """SELECT CAST(user_id AS VARCHAR) AS k, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS updated_at, arg_max(event_type = 'error', ts) AS deleted FROM events GROUP BY 1""",
