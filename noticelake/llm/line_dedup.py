@@ -1,16 +1,17 @@
 """Operator 4: drop lines that several documents share, with DataFrame functions only.
 
-Distinct normalised lines of each document are hashed and exploded; per hash the smallest and the
-largest doc_id tell whether at least two documents hold it, so a line found anywhere costs two longs
-of aggregation state. The document of the smallest doc_id keeps its lines.
+Normalised lines are exploded with their positions and hashed; per hash the distinct documents are counted
+and the smallest doc_id is found. Lines of hashes that enough documents hold are dropped by position, but in
+the document of the smallest doc_id, and the others put together again in order.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import free_name, join_apart, lower_ascii, saved, table
 
 MIN_CHARS = 10
+MIN_DOCUMENTS = 2
 _BLANK = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id, which is larger than any other.
 _LAST = (1 << 63) - 1
@@ -29,38 +30,49 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, key hash) of every line that a document loses, once per document."""
-    keys = F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
-    held = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), F.array_distinct(keys).alias("keys"))
+def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(did, version, pos) of every line that a document loses; version tells rows of one doc_id apart by their text."""
+    keys = F.transform(_lines(F.col("text")), line_key)
     # the outer form keeps Spark from filtering by the array's size, which would compute it twice
-    held = held.select("did", F.explode_outer("keys").alias("key")).where(F.col("key").isNotNull())
-    held = held.select("did", _hash(F.col("key")).alias("h"))
-    spread = held.groupBy("h").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
-    return held.join(spread, "h").where("did > first").select("did", "h")
+    held = docs.select(_did(), _version(), F.posexplode_outer(keys).alias("pos", "key")).where(F.char_length("key") >= min_chars)
+    held = saved(held.select("did", "version", "pos", _hash(F.col("key")).alias("h")), "lines")
+    documents = held.select("h", "did").distinct()  # a hash that many hold is counted by many tasks
+    spread = documents.groupBy("h").agg(F.min("did").alias("first"), F.count("*").alias("documents"))
+    lines = held.groupBy("h").agg(F.count("*").alias("n"))
+    spread = saved(spread.where(F.col("documents") >= min_documents).join(lines, "h").select("h", "first", "n"), "shared")
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    return join_apart(held, spread, "h", total).where("did > first").select("did", "version", "pos")
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def _did() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did")
+
+
+def _version() -> Column:
+    return F.xxhash64("text").alias("version")
+
+
+def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """`docs` (doc_id, text, any others) with text without shared lines, plus n_lines and n_dropped.
 
-    A null text becomes one empty line. Empty and short lines stay. Repeated rows of one doc_id are one
-    document: they lose the same lines and none because of each other. Rows with a null doc_id count as
-    one document after all others. An empty table gives an empty result.
+    A line of at least `min_chars` code points that at least `min_documents` documents hold stays only in that
+    of the smallest doc_id. A null text becomes one empty line. Empty and short lines stay. A text's length
+    doesn't matter. Repeated rows of one doc_id are one document: they lose the same lines and none because of
+    each other. Rows with a null doc_id count as one document after all others. Columns n_lines and n_dropped of
+    `docs` are replaced, all others kept. An empty table gives an empty result.
     """
-    n_lines, n_dropped = (next(f"{n}{'_' * i}" for i in range(99) if f"{n}{'_' * i}" not in docs.columns) for n in ("__n", "__d"))
-    lost = shared_lines(docs, min_chars).groupBy("did").agg(F.collect_set("h").alias("__lost"))
-    joined = docs.withColumn("__did", F.coalesce(F.col("doc_id"), F.lit(_LAST))).join(
-        lost.withColumnRenamed("did", "__did"), "__did", "left"
-    )
-    lines = _lines(F.col("text"))
-    stays = F.filter(
-        lines, lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains("__lost", _hash(line_key(x))))
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    did, version, lost, lines = (free_name(n, docs.columns) for n in ("did", "version", "lost", "lines"))
+    gone = shared_lines(docs, min_chars, min_documents).groupBy("did", "version").agg(F.collect_set("pos").alias(lost))
+    gone = gone.withColumnsRenamed({"did": did, "version": version})
+    joined = docs.withColumns({did: _did(), version: _version()}).join(gone, [did, version], "left")
+    joined = joined.withColumn(lines, _lines(F.col("text")))
+    positions = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    kept = F.array_join(F.transform(positions, lambda p: F.get(lines, p)), "\n")
+    return joined.select(
+        *others, F.when(F.col(lost).isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text"),
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    kept = F.when(F.col("__lost").isNull(), lines).otherwise(stays)
-    out = joined.withColumn("__kept", kept).withColumn(n_lines, F.size(lines).cast("long"))
-    out = out.withColumn(n_dropped, F.size(lines).cast("long") - F.size("__kept"))
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return out.select(*others, F.array_join("__kept", "\n").alias("text"), F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
