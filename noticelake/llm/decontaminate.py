@@ -2,134 +2,249 @@
 
 With DataFrame functions only. Numbers, names and units become typed placeholders, windows of the
 resulting template tokens are hashed and joined, and in each found pair the filled slots must match one
-to one: what is equal on one side is equal on the other.
+to one: what is equal on one side is equal on the other. An item shorter than a window is looked for as a
+whole. A window of few words besides its placeholders tells little, so its slots must be equal, too.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, table
 
 WINDOW = 8
-#: A benchmark window with fewer words that are no placeholders is not looked for.
+#: Items of fewer tokens are no passages: every text has them.
+MIN_ITEM = 3
+#: A benchmark window with fewer words that are no placeholders matches only with equal slots.
 MIN_LITERALS = 4
 #: Benchmark windows are broadcast up to so many; beyond, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 200_000
-UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "mph", "kmh", "in", "ft", "lb", "oz", "usd", "eur", "gbp", "percent", "dollars", "euros", "metres", "meters", "miles", "hours", "minutes", "seconds", "days", "weeks", "years")
-_NAME = "\x02"
+#: Symbols that are read as words.
+SYMBOLS = (("%", "percent"), ("€", "euros"), ("$", "dollars"), ("£", "pounds"), ("°", "degrees"))
+UNITS = (
+    "mm cm m km mg g kg t ml l s ms min h mph kmh in ft lb oz c f usd eur gbp percent dollars euros pounds cents degrees metres meters kilometres kilometers centimetres centimeters "
+    "miles mile feet foot inches inch yards grams kilograms tons litres liters gallons hour hours minute minutes second seconds day days week weeks month months year years"
+).split()
+#: Stand before their number.
+CURRENCIES = ("dollars", "euros", "pounds", "usd", "eur", "gbp")
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+#: Words that no capital makes a name, since sentences start with them.
+COMMON = (
+    "a about after all although an and another any are as at be because before both but by can consider could did do does each either every few find for from give given "
+    "had has have he her here his how however i if in is it its let many may might more most my no nor not now of on once only or other our over she should show since so "
+    "some such suppose than that the their them then there these they this those though through thus to under until us was we were what when where whether which while who "
+    "whom whose why will with without would yes you your le la les un une des de du et il elle est que qui dans pour der die das ein eine und ist wer wie was wo el los las y en es"
+).split()
+_SLOTS = ("<num>", "<name>", "<unit>")
 
 
 def raw_tokens(text: Column) -> Column:
-    """Words and numbers of a text, in order; a capital word within a sentence is marked as a name."""
+    """Words and numbers of a text, in order; 1,5 and 1.5 are one number each."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{N})[.,](\p{N})", "$1_$2")
-    t = F.regexp_replace(t, r"([\p{Ll}\p{N},;:)] )(\p{Lu})", f"$1{_NAME}$2")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}_{_NAME}]+", -1), lambda x: x != "")
+    for symbol, word in SYMBOLS:
+        t = F.replace(t, F.lit(symbol), F.lit(f" {word} "))
+    return F.filter(F.split(t, r"[^\p{L}\p{N}_]+", -1), lambda x: x != "")
 
 
 def _template(raw: Column) -> Column:
-    def kind(x: Column, i: Column) -> Column:
-        digit = (x >= "0") & (x < ":")
-        after = F.get(raw, i - 1)
+    """The kind of each token, or the token in lower case; names that follow a name are <more>."""
+
+    def number(x: Column) -> Column:
+        return ((x >= "0") & (x < ":")) | F.lower(x).isin(*NUMBERS)
+
+    def unit(i: Column) -> Column:
+        low = F.lower(F.get(raw, i))
+        return low.isin(*UNITS) & (((i > 0) & number(F.get(raw, i - 1))) | (low.isin(*CURRENCIES) & number(F.get(raw, i + 1))))
+
+    def named(x: Column) -> Column:
         low = F.lower(x)
-        unit = (i > 0) & (after >= "0") & (after < ":") & low.isin(*UNITS)
-        return F.when(digit, "<num>").when(x.startswith(_NAME), "<name>").when(unit, "<unit>").otherwise(low)
+        return (low != x) & ~low.isin(*COMMON)
+
+    def kind(x: Column, i: Column) -> Column:
+        low, before = F.lower(x), F.get(raw, i - 1)
+        plain = (x >= ":") & (low == x) & ~x.isin(*NUMBERS, *UNITS)  # most words: nothing else is asked about them
+        follows = (i > 0) & named(before) & ~number(before) & ~F.coalesce(unit(i - 1), F.lit(False))
+        name = F.when(F.coalesce(follows, F.lit(False)), "<more>").otherwise("<name>")
+        return F.when(plain, x).when(number(x), "<num>").when(unit(i), "<unit>").when(named(x), name).otherwise(low)
 
     return F.transform(raw, kind)
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows (raw, tok) and one row a window: pos, h.
+def _tokens(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, raw, tok): the tokens and their template; a run of names is one token and one placeholder."""
+    rows = df.select(*keys, raw_tokens(F.col("text")).alias("r")).withColumn("k", _template(F.col("r")))
+    starts = F.filter(F.sequence(F.lit(0), F.size("k") - 1), lambda i: F.get("k", i) != "<more>")
+
+    def joined(at: Column) -> Column:
+        def token(p: Column, j: Column) -> Column:
+            n = F.coalesce(F.get(at, j + 1), F.size("r")) - p
+            return F.when(n == 1, F.get("r", p)).otherwise(F.array_join(F.slice("r", p + 1, n), "_"))
+
+        return F.transform(at, token)
+
+    whole = F.get(F.transform(F.array(starts), joined), 0)  # binds `starts`, or each run would find them anew
+    return rows.select(*keys, F.when(F.array_contains("k", "<more>"), whole).otherwise(F.col("r")).alias("raw"), F.array_remove("k", "<more>").alias("tok"))
+
+
+def _before(sizes: list[int], n: Column) -> Column:
+    """How many windows of smaller sizes a row (tok) has before those of size n."""
+    return sum((F.when(n > size, F.greatest(F.lit(0), F.size("tok") - size + 1)).otherwise(0) for size in sizes), F.lit(0))
+
+
+def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """rows (raw, tok) and one row a window of each of the sizes: place, h.
 
     The hashes are a column before they are exploded: the explosion then compiles together with the join
     that follows, and the arrays beside it aren't copied for each window. The outer form keeps Spark from
     filtering by the array's size, which would compute it twice.
     """
-    every = F.transform(F.sequence(F.lit(0), F.size("tok") - window), lambda i: F.xxhash64(*[F.get("tok", i + k) for k in range(window)]))
-    hashed = rows.withColumn("hs", F.when(F.size("tok") >= window, every))
-    return hashed.select(*rows.columns, F.posexplode_outer("hs").alias("pos", "h")).where(F.col("h").isNotNull())
 
+    def hashes(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size("tok") - n), lambda i: F.xxhash64(*[F.get("tok", i + k) for k in range(n)]))
+        return F.when(F.size("tok") >= n, every).otherwise(F.array().cast("array<bigint>"))
 
-def _same_slots(a: Column, b: Column, ta: Column, tb: Column, window: int) -> Column:
+    hashed = rows.withColumn("hs", F.concat(*map(hashes, sizes)) if len(sizes) > 1 else hashes(sizes[0]))
+    return hashed.select(*rows.columns, F.posexplode_outer("hs").alias("place", "h")).where(F.col("h").isNotNull())
+
+
+def _cut(sizes: list[int], n: Column) -> tuple[Column, Column]:
+    """The raw and template tokens of a window of size n, by its place."""
+    pos = F.col("place") - _before(sizes, n)
+    return F.slice("raw", pos + 1, n), F.slice("tok", pos + 1, n)
+
+
+def _template_hash(tok: Column, window: int) -> Column:
+    """As `_windows` hashes; the nulls beyond a short item's end leave the hash as it is."""
+    return F.xxhash64(*[F.get(tok, F.lit(k)) for k in range(window)])
+
+
+def _exactly(low: Column, raw: Column) -> Column:
+    """What must be equal besides the template: the lower-cased tokens, if `low`."""
+    return F.when(low, F.xxhash64(F.transform(raw, F.lower))).otherwise(F.lit(0).cast("long"))
+
+
+def _same_slots(a: Column, b: Column, ta: Column, tb: Column) -> Column:
     """Equal templates, and slots of one kind equal within `a` exactly where they are equal within `b`."""
-    at = F.sequence(F.lit(0), F.lit(window - 1))
+    at = F.sequence(F.lit(0), F.size(ta) - 1)
 
     def agrees(i: Column) -> Column:
         return F.forall(at, lambda j: (F.get(ta, i) != F.get(ta, j)) | ((F.get(a, i) == F.get(a, j)) == (F.get(b, i) == F.get(b, j))))
 
-    return (ta == tb) & F.forall(at, lambda i: ~F.get(ta, i).isin("<num>", "<name>", "<unit>") | agrees(i))
+    return (ta == tb) & F.forall(at, lambda i: ~F.get(ta, i).isin(*_SLOTS) | agrees(i))
 
 
-def _tokens(df: DataFrame, key: str) -> DataFrame:
-    raw = df.select(F.col(key), raw_tokens(F.col("text")).alias("raw"))
-    return raw.withColumn("tok", _template(F.col("raw")))
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
+    """(item_id, n, h, low, exactly, b_raw, b_tok): the distinct windows of each item, the whole item if it is shorter."""
+    rows = _tokens(benchmark, "item_id").where(F.size("tok") >= MIN_ITEM).withColumn("n", F.least(F.size("tok"), F.lit(window)))
+    every = F.transform(F.sequence(F.lit(0), F.size("tok") - F.col("n")), lambda i: F.struct(F.slice("raw", i + 1, F.col("n")).alias("b_raw"), F.slice("tok", i + 1, F.col("n")).alias("b_tok")))
+    cut = rows.select("item_id", "n", F.explode(every).alias("w")).select("item_id", "n", "w.*").distinct()
+    h = _template_hash(F.col("b_tok"), window)
+    low = F.size(F.filter("b_tok", lambda x: ~x.isin(*_SLOTS))) < min_literals
+    return cut.select("item_id", "n", h.alias("h"), low.alias("low"), _exactly(low, F.col("b_raw")).alias("exactly"), "b_raw", "b_tok")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact) for every document and benchmark item with a window in common.
 
-    n_windows: places in the document that match a window of the item; n_exact: those with equal slots too.
-    Null, empty and texts shorter than a window match nothing; benchmark items shorter than a window are not
-    looked for, nor are windows with fewer than `min_literals` words that are no placeholders. Repeated rows
-    of a doc_id add their places up; a null doc_id or item_id is a value like any other; other columns are
-    ignored; empty tables give an empty result.
+    n_windows: places in the document that match a window of the item (or all of it, if it is shorter);
+    n_exact: those with equal slots too. Windows with fewer than `min_literals` words that are no
+    placeholders match with equal slots only. Null and empty texts match nothing, nor do items of fewer than
+    MIN_ITEM tokens. A text's length doesn't matter. A place that several windows of an item match counts
+    once, as does one that several rows of a doc_id have; a null doc_id or item_id is a value like any other;
+    other columns are ignored; empty tables give an empty result.
     """
-    bench = _windows(_tokens(benchmark, "item_id"), window).select(
-        "item_id", "h", F.slice("raw", F.col("pos") + 1, window).alias("b_raw"), F.slice("tok", F.col("pos") + 1, window).alias("b_tok")
-    )
-    literals = F.size(F.filter("b_tok", lambda x: ~x.isin("<num>", "<name>", "<unit>")))
-    bench = bench.where(literals >= min_literals).distinct()
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
-    found = _windows(_tokens(docs, "doc_id"), window).join(bench, "h")
-    found = found.select(
-        "doc_id", "item_id", "pos", "b_raw", "b_tok", F.slice("raw", F.col("pos") + 1, window).alias("d_raw"), F.slice("tok", F.col("pos") + 1, window).alias("d_tok")
-    )
+    bench = saved(benchmark_windows(benchmark, window, min_literals), "benchmark")
+    sizes = sorted(r["n"] for r in bench.select("n").distinct().collect()) or [window]  # window - 2 rows at most
+    small = bench.count() <= BROADCAST_WINDOWS
+    hint = F.broadcast if small else (lambda df: df)
+    templates = hint(bench.select("n", "h", "low").distinct())  # one row a hash: a place of a document matches one
+    if small:
+        found = _windows(_tokens(docs, "doc_id"), sizes).join(templates, "h")
+    else:  # hashes meet alone; then the texts that have some are read again
+        met = _windows(_tokens(docs, "doc_id"), sizes).select("doc_id", "place", "h").join(templates, "h")
+        hits = saved(met.groupBy(F.col("doc_id").alias("hit")).agg(F.collect_set(F.struct("place", "n", "h", "low")).alias("places")), "hits")
+        again = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit")))
+        found = _tokens(again, "doc_id", "places").withColumn("p", F.explode("places")).select("doc_id", "raw", "tok", "p.*")
+    raw, tok = _cut(sizes, F.col("n"))
+    found = found.select("doc_id", "place", "n", "h", "low", raw.alias("d_raw"), tok.alias("d_tok"))
+    if not small:
+        found = found.where(F.col("h") == _template_hash(F.col("d_tok"), window))  # of this row, if others have its doc_id
+    keys = hint(bench.select("n", "h", "low", "exactly").distinct())
+    found = found.withColumn("exactly", _exactly(F.col("low"), F.col("d_raw"))).join(keys, ["n", "h", "low", "exactly"], "left_semi")
     found = saved(found, "windows")  # apart, so that the join compares hashes alone
-    found = found.where(_same_slots(F.col("d_raw"), F.col("b_raw"), F.col("d_tok"), F.col("b_tok"), window))
-    exact = F.transform("d_raw", lambda x: F.lower(x)) == F.transform("b_raw", lambda x: F.lower(x))
-    places = found.groupBy("doc_id", "item_id", "pos").agg(F.max(exact).alias("exact"))
+    pairs = found.join(hint(bench), ["n", "h", "low", "exactly"])
+    pairs = pairs.where(_same_slots(F.col("d_raw"), F.col("b_raw"), F.col("d_tok"), F.col("b_tok")))
+    exact = F.transform("d_raw", F.lower) == F.transform("b_raw", F.lower)
+    places = pairs.groupBy("doc_id", "item_id", "place").agg(F.max(exact).alias("exact"))
     return places.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.count_if("exact").alias("n_exact"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
     """The rows of `docs`, all their columns, that hold no benchmark window; see `contaminated`."""
-    bad = contaminated(docs, benchmark, window, min_literals).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = contaminated(docs, benchmark, window, min_literals).select("doc_id").distinct()
+    bad_id = free_name("bad", docs.columns)
+    return docs.join(bad.select(F.col("doc_id").alias(bad_id)), docs["doc_id"].eqNullSafe(F.col(bad_id)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
+def _quoted(words: tuple[str, ...] | list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _symbols_sql() -> str:
+    t = r"regexp_replace(coalesce(text, ''), '(\p{N})[.,](\p{N})', '\1_\2', 'g')"
+    for symbol, word in SYMBOLS:
+        t = f"replace({t}, '{symbol}', ' {word} ')"
+    return t
+
+
 #: {docs}: a table with doc_id and text.
-CONTAMINATED_SQL = r"""
+CONTAMINATED_SQL = (
+    r"""
 WITH t AS (
   SELECT 'd' AS side, doc_id AS id, text FROM {docs} UNION ALL SELECT 'b', item_id, text FROM benchmark),
-r AS (
-  SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''),
-      '(\p{N})[.,](\p{N})', '\1_\2', 'g'), '([\p{Ll}\p{N},;:)] )(\p{Lu})', '\1' || chr(2) || '\2', 'g'),
-      '[^\p{L}\p{N}_' || chr(2) || ']+'), lambda x: x <> '') AS raw FROM t),
+r AS (SELECT side, id, row_number() OVER () AS rid, list_filter(regexp_split_to_array({symbols}, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS raw FROM t),
+u AS (
+  SELECT side, id, rid, i, x, lower(x) AS low, (x >= '0' AND x < ':') OR lower(x) IN {numbers} AS num
+  FROM (SELECT side, id, rid, unnest(raw) AS x, generate_subscripts(raw, 1) AS i FROM r)),
 k AS (
-  SELECT *, list_transform(range(1, len(raw) + 1), lambda i:
-    CASE WHEN raw[i] >= '0' AND raw[i] < ':' THEN '<num>' WHEN starts_with(raw[i], chr(2)) THEN '<name>'
-         WHEN i > 1 AND raw[i-1] >= '0' AND raw[i-1] < ':' AND lower(raw[i]) IN ({units}) THEN '<unit>'
-         ELSE lower(raw[i]) END) AS tok FROM r),
+  SELECT *, CASE WHEN num THEN '<num>'
+         WHEN low IN {units} AND (coalesce(lag(num) OVER o, FALSE) OR (low IN {currencies} AND coalesce(lead(num) OVER o, FALSE))) THEN '<unit>'
+         WHEN low <> x AND low NOT IN {common} THEN '<name>' ELSE low END AS k
+  FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT *, CASE WHEN k = '<name>' AND coalesce(lag(k) OVER (PARTITION BY rid ORDER BY i), '') = '<name>' THEN 0 ELSE 1 END AS starts FROM k),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY rid ORDER BY i) AS at_token FROM c),
+y AS (SELECT side, id, rid, at_token, string_agg(x, '_' ORDER BY i) AS x, min(k) AS k FROM g GROUP BY side, id, rid, at_token),
+n AS (SELECT side, id, rid, list(x ORDER BY at_token) AS raw, list(k ORDER BY at_token) AS tok FROM y GROUP BY side, id, rid),
+z AS (SELECT DISTINCT least(len(tok), 8) AS n FROM n WHERE side = 'b' AND len(tok) >= 3),
 w AS (
-  SELECT side, id, pos, raw[pos:pos+7] AS raw, tok[pos:pos+7] AS tok
-  FROM (SELECT *, unnest(range(1, len(tok) - 6)) AS pos FROM k WHERE len(tok) >= 8)),
-b AS (SELECT DISTINCT id, raw, tok FROM w WHERE side = 'b'
-      AND len(list_filter(tok, lambda x: x NOT IN ('<num>', '<name>', '<unit>'))) >= 4),
+  SELECT side, id, n, pos, raw[pos:pos+n-1] AS raw, tok[pos:pos+n-1] AS tok
+  FROM (SELECT n.*, z.n, unnest(range(1, len(tok) - z.n + 2)) AS pos FROM n, z
+        WHERE len(tok) >= z.n AND (side = 'd' OR z.n = least(len(tok), 8)))),
+b AS (SELECT DISTINCT id, n, raw, tok, len(list_filter(tok, lambda x: x NOT IN ('<num>', '<name>', '<unit>'))) < 4 AS low FROM w WHERE side = 'b'),
+p AS (
+  SELECT w.id AS doc_id, b.id AS item_id, w.n, w.pos, low, w.raw AS raw, b.raw AS b_raw, b.tok AS tok,
+         list_transform(w.raw, lambda x: lower(x)) = list_transform(b.raw, lambda x: lower(x)) AS exact
+  FROM w JOIN b ON w.tok = b.tok AND w.n = b.n AND w.side = 'd'),
 m AS (
-  SELECT w.id AS doc_id, b.id AS item_id, w.pos,
-         max(CASE WHEN list_transform(w.raw, lambda x: lower(x)) = list_transform(b.raw, lambda x: lower(x)) THEN 1 ELSE 0 END) AS exact
-  FROM w JOIN b ON w.tok = b.tok AND w.side = 'd'
-  WHERE len(list_filter(range(0, 64), lambda z: b.tok[z // 8 + 1] IN ('<num>', '<name>', '<unit>')
-        AND b.tok[z // 8 + 1] = b.tok[z % 8 + 1]
-        AND (w.raw[z // 8 + 1] = w.raw[z % 8 + 1]) <> (b.raw[z // 8 + 1] = b.raw[z % 8 + 1]))) = 0
-  GROUP BY 1, 2, 3)
+  SELECT doc_id, item_id, n, pos, max(CASE WHEN exact THEN 1 ELSE 0 END) AS exact
+  FROM p
+  WHERE (exact OR NOT low) AND len(list_filter(range(0, 64), lambda z: tok[z // 8 + 1] IN ('<num>', '<name>', '<unit>')
+        AND tok[z // 8 + 1] = tok[z % 8 + 1]
+        AND (raw[z // 8 + 1] = raw[z % 8 + 1]) <> (b_raw[z // 8 + 1] = b_raw[z % 8 + 1]))) = 0
+  GROUP BY 1, 2, 3, 4)
 SELECT doc_id, item_id, count(*) AS n_windows, CAST(sum(exact) AS BIGINT) AS n_exact FROM m GROUP BY 1, 2
-""".replace("{units}", _UNIT_LIST)
+""".replace("{symbols}", _symbols_sql())
+    .replace("{numbers}", _quoted(NUMBERS))
+    .replace("{units}", _quoted(UNITS))
+    .replace("{currencies}", _quoted(CURRENCIES))
+    .replace("{common}", _quoted(COMMON))
+)
 
 QUERIES = {"op6_decontaminate": query}
 ORACLE_SQL = {"op6_decontaminate": CONTAMINATED_SQL.replace("{docs}", "documents")}
