@@ -34,9 +34,9 @@ STEP = 8
 #: so a frequent length isn't one task's work.
 RANK_PARTS, RANK_PIECES = 256, 100_000
 #: A worker remembers the ids of about so many words, then starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 #: Bytes of text encoded at a time.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: The linear program ends within this share of the best, or after so many rounds.
 CLOSE, MAX_ROUNDS = 0.001, 400
