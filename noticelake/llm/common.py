@@ -15,12 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage ends, and nothing is computed twice."""
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """`df` written to the shared folder and read back, and its path: lineage ends, and nothing is computed twice."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """As `stored`, for tables that lazy results still read: they stay until the shared folder is cleared."""
+    return stored(df, name, partition_by)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_apart(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
