@@ -14,7 +14,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty texts too) and those of no clear language."""
+    """Drops documents without a letter (null and empty texts too) and those of no clear language.
+
+    Repeated rows are judged alike; a tie of languages is no matter, as only the probability counts.
+    """
     return langid.reject(docs, langid.train(langid.learnable(docs))).select(*COLUMNS)
 
 
@@ -27,22 +30,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document of the smallest doc_id.
 
-    Documents without a word, which line dedup may leave, are no copies of each other and go.
-    A null doc_id stays only if its whole group has no other.
+    Documents without a word, which line dedup may leave, are one group. A null doc_id stays only if its whole
+    group has no other; repeated rows of a doc_id that stays all do.
     """
-    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    found = simhash.near_duplicates(worded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = found.select(F.col("doc_id").alias("stays")).distinct()
-    return worded.join(stay, worded["doc_id"].eqNullSafe(stay["stays"]), "left_semi").select(*COLUMNS)
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of `benchmark`."""
+    """Drops documents that hold a passage of `benchmark`, all rows of such a doc_id; see decontaminate.contaminated."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into token sequences: one row a piece, as op10."""
+    """Packs what is left into token sequences: one row a piece, as op10; repeated rows are packed each."""
     return packing.pack(docs)
 
 
