@@ -33,7 +33,7 @@ def _next_version(df: DataFrame, folder: str, partition_by: Sequence[str] = (),
     path = f"{folder}/v{version}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     if check:
-        check(spark.read.parquet(path))
+        check(spark.read.schema(df.schema).parquet(path))
     spark.createDataFrame([(version, path)], "version LONG, path STRING").coalesce(1).write.mode("append").parquet(f"{folder}/_pointer")
     return path
 
