@@ -107,9 +107,9 @@ def unit(batch: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, direction, embedding), one row per id and direction, of the rows that take part: id and vector not
+    """(vec_id, direction, embedding), one row an id, of the rows that take part: id and vector not
     null, no null or non-finite component, not zero, and of the dimension that most such rows have (of equally
-    many, the smaller). Divided by their largest component, multiples of one vector are equal to the last bit.
+    many, the smaller). Of several vectors under one id, the one of the smallest direction, then the smallest, counts. Divided by their largest component, multiples of one vector are equal to the last bit.
     """
     e = F.col("embedding")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -118,7 +118,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     largest = F.array_max(F.transform(e, lambda v: F.abs(v).cast("double")))
     alike = rows.where(F.size(e) == (dim["dim"] if dim else 0)).withColumn("largest", largest)
     turned = alike.select("vec_id", F.transform(e, lambda v: v.cast("double") / F.col("largest")).alias("direction"), "embedding")
-    return turned.groupBy("vec_id", "direction").agg(F.min("embedding").alias("embedding"))
+    return turned.groupBy("vec_id").agg(F.min(F.struct("direction", "embedding")).alias("v")).select("vec_id", "v.direction", "v.embedding")
 
 
 def search_cell(book: Codebook, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, ids: np.ndarray, keep: int, candidates: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -164,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
 
     Both have vec_id and embedding; rows that `usable` leaves out take no part, as queries or candidates. A
     query's own id is no candidate. Ties (of DECIMALS decimals, to which scores are rounded) go to the smaller
-    vec_id. Repeated rows count once. Fewer candidates than k give all of them; an empty table gives an empty
+    vec_id. Repeated rows count once, and an id with one vector (see `usable`). Fewer candidates than k give all of them; an empty table gives an empty
     result. Codes only rule candidates out: the result is that of all exact cosines, whatever `candidates` is.
     """
     spark = vectors.sparkSession
