@@ -1,7 +1,7 @@
 """Operator 7: URL verdicts by longest rule, else by a Bloom filter cascade.
 
 Level 1 of a cascade holds the listed keys; level 2 holds those other keys of the universe that level 1
-lets through; level 3 the listed keys that level 2 lets through, and so on until none is left. Over the
+lets through (only these are held against the list by a join); level 3 the listed keys that level 2 lets through, and so on until none is left. Over the
 universe it was built from, a cascade answers exactly, and a lookup touches no table. Keys are dealt to
 shards of bounded size, each with a cascade of its own, so no filter outgrows its broadcast.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, saved, table
+from .common import free_name, lower_ascii, saved, table
 
 #: Rules of the registered query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -26,6 +26,8 @@ K = 6
 #: Listed keys in a shard: its first level has about 9 bits each, 9 MB.
 SHARD_KEYS = 8_000_000
 MAX_LEVELS = 64
+#: Cascades of several shards are broadcast together up to so many bytes.
+LOOKUP_BYTES = 128 << 20
 
 
 def host(url: Column) -> Column:
@@ -104,10 +106,16 @@ def _through(keys: DataFrame, level: Level, number: int) -> DataFrame:
     return keys.mapInArrow(run, "h1 long, h2 long")
 
 
-def cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
-    """Levels that tell the keys (h1, h2) of `listed` from those of `others`; both distinct, with nothing in common."""
-    levels: list[Level] = []
-    inside, outside = listed, others
+def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
+    """Levels that tell the keys (h1, h2) of `listed` from the other keys of `universe`; both tables distinct.
+
+    Only what the first level lets through is held against the list, by a join.
+    """
+    if not (n := listed.count()):
+        return []
+    levels = [_build(listed, n, 0)]
+    inside = saved(_through(universe, levels[0], 0).join(listed, ["h1", "h2"], "left_anti"), "through")
+    outside = listed
     while n := inside.count():
         if len(levels) == MAX_LEVELS:
             raise RuntimeError(f"two keys have equal hashes: {MAX_LEVELS} levels don't part them")
@@ -127,44 +135,63 @@ def contains(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return listed
 
 
-def with_hashes(keys: DataFrame) -> DataFrame:
-    """`keys` with h1 and h2 of the column `key`."""
-    return keys.withColumn("h1", F.xxhash64("key")).withColumn("h2", F.xxhash64(F.lit("cascade"), F.col("key")))
+def with_hashes(keys: DataFrame, h1: str = "h1", h2: str = "h2") -> DataFrame:
+    """`keys` with two hashes of the column `key`."""
+    return keys.withColumns({h1: F.xxhash64("key"), h2: F.xxhash64(F.lit("cascade"), F.col("key"))})
+
+
+def _shard(h1: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(h1), F.lit(shards)).cast("int")
 
 
-def mark_listed(rows: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def mark_listed(rows: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """`rows` (with a column key) and is_listed: whether `listed` (key) has the key; exact, without a join.
 
-    Null and empty keys are never listed. Repeated keys count once. Listed keys that no row has don't matter.
+    Null and empty keys are never listed. Repeated keys count once. Listed keys that no row has don't matter. A
+    column is_listed of `rows` is replaced, all others are kept. Cascades of several shards, up to `lookup_bytes`,
+    are looked up in one pass over the rows.
     """
+    rows = rows.drop("is_listed")
     key = F.coalesce("key", F.lit(""))
-    hashed = with_hashes(rows)
-    universe = saved(hashed.where(key != "").select("h1", "h2").distinct(), "universe")
-    wanted = saved(with_hashes(listed.select("key").where(key != "")).select("h1", "h2").distinct(), "listed")
+    wanted = with_hashes(listed.select("key").where(key != "")).select("h1", "h2").distinct()
+    universe = with_hashes(rows.select("key").where(key != "")).select("h1", "h2").distinct()
+    wanted = saved(wanted, "listed")
     shards = max(1, math.ceil(wanted.count() / shard_keys))
-    shard = F.pmod(F.xxhash64("h1"), F.lit(shards))
-    inside = wanted.join(universe, ["h1", "h2"], "left_semi")
-    outside = universe.join(wanted, ["h1", "h2"], "left_anti")
-    parts = []
+    if shards > 1:  # each shard is a folder, read alone
+        wanted = saved(wanted.withColumn("shard", _shard("h1", shards)), "listed", ["shard"])
+    universe = saved(universe.withColumn("shard", _shard("h1", shards)), "universe", ["shard"])
+    h1, h2 = free_name("h1", rows.columns), free_name("h2", rows.columns)
+    hashed = with_hashes(rows, h1, h2)
+    parts, now, size = [], {}, 0
     for s in range(shards):
-        levels = cascade(saved(inside.where(shard == s), "inside"), saved(outside.where(shard == s), "outside"))
-        parts.append(_marked(hashed.where(shard == s), levels))
+        own = wanted.where(F.col("shard") == s) if shards > 1 else wanted
+        now[s] = cascade(own.select("h1", "h2"), universe.where(F.col("shard") == s).select("h1", "h2"))
+        size += sum(level.m // 8 for level in now[s])
+        if size >= lookup_bytes or s == shards - 1:
+            mine = hashed.where(_shard(h1, shards).isin(*now)) if shards > 1 else hashed
+            parts.append(_marked(mine, now, shards, (h1, h2)))
+            now, size = {}, 0
     return reduce(DataFrame.unionAll, parts)
 
 
-def _marked(rows: DataFrame, levels: list[Level]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(levels)
-    at = [rows.columns.index(c) for c in ("key", "h1", "h2")]
+def _marked(rows: DataFrame, cascades: dict[int, list[Level]], shards: int, hashes: tuple[str, str]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(cascades)  # LOOKUP_BYTES and one shard's at most
+    dealt = rows.withColumn(free_name("shard", rows.columns), _shard(hashes[0], shards))
+    at = [dealt.columns.index(c) for c in ("key", *hashes)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, h1, h2 = (batch.column(i) for i in at)
-            found = contains(shared.value, h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64))
+            key, (h1, h2) = batch.column(at[0]), (batch.column(i).to_numpy().view(np.uint64) for i in at[1:])
+            shard = batch.column(batch.num_columns - 1).to_numpy()
+            found = np.zeros(batch.num_rows, bool)
+            for s in np.unique(shard):
+                mine = shard == s
+                found[mine] = contains(shared.value[int(s)], h1[mine], h2[mine])
             some = np.array([bool(x) for x in key.to_pylist()], bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found & some)], [*batch.schema.names, "is_listed"])
 
-    out = T.StructType([*rows.schema.fields, T.StructField("is_listed", T.BooleanType())])
-    return rows.mapInArrow(run, out).drop("h1", "h2")
+    out = T.StructType([*dealt.schema.fields, T.StructField("is_listed", T.BooleanType())])
+    return dealt.mapInArrow(run, out).drop(*hashes, dealt.columns[-1])
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -172,8 +199,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str, str, s
 
     The longest fitting rule (verdict, host, path) decides; without one, a url whose host and path `listed`
     (key) has is blocked, any other allowed. A null url or one without `://` has an empty host and path,
-    which no rule fits and no list has. Repeated rows give repeated results; other columns are ignored;
-    an empty table gives an empty result.
+    which no rule fits and no list has. A url's length doesn't matter. Repeated rows give repeated results; other
+    columns are ignored; an empty table gives an empty result.
     """
     parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     marked = mark_listed(parsed.withColumn("key", F.concat("host", "path")), listed, shard_keys)
