@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, work_dir
+from .common import HOT_KEYS, saved, table, work_dir
 
 #: Payloads under so many bytes are always stored.
 MIN_BYTES = 100
@@ -28,7 +28,13 @@ STEP = 1 << 16
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` as an address with its scheme: without one, Spark's default file system is meant."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def _local(uri: str) -> str:
@@ -115,11 +121,16 @@ def plan_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long = F.octet_length("payload") >= min_bytes
     first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("digest", "least")
-    other = F.col("page_id").isNull() | (F.col("page_id") > F.col("least"))
-    return rows.join(first, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(other, F.col("least")).alias("refers_to")
-    )
+    first = saved(first.where("n > 1"), "digests")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    # a payload of many pages is broadcast; short payloads and those go anywhere, by a key that no digest equals
+    hot = F.broadcast(first.where(F.col("n") * HOT_KEYS > total).select("digest", F.col("least").alias("hot")))
+    cold = first.where(F.col("n") * HOT_KEYS <= total).select(F.col("digest").alias("key"), F.col("least").alias("cold"))
+    key = F.when(long & F.col("hot").isNull(), F.col("digest")).otherwise(F.concat_ws("-", F.lit("any"), "page_id", "url"))
+    joined = rows.join(hot, "digest", "left").withColumn("key", key).join(cold, "key", "left")
+    least = F.coalesce("hot", "cold")
+    other = F.col("page_id").isNull() | (F.col("page_id") > least)
+    return joined.select("page_id", "url", "payload", "digest", F.when(other, least).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -128,9 +139,12 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
     Equal payloads of at least `min_bytes` are stored once, under the smallest page_id; every other such row
     is a revisit of it. A null html is an empty payload. Rows that repeat the smallest page_id are all
     responses. A null page_id comes after all others; a group with no other id has responses only. A null
-    url leaves out WARC-Target-URI. Other columns are ignored. An empty table gives no archive.
+    url leaves out WARC-Target-URI. A payload is held in memory once, whole. Other columns are ignored. An
+    empty table gives no archive.
     """
 
+    folder = _qualified(pages.sparkSession, folder)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, out, path, n, size = [], None, "", 0, 0
         for batch in batches:
