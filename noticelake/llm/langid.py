@@ -5,7 +5,6 @@ document frequencies over all documents that may be learned from, then temperatu
 of the sample that the weights haven't seen.
 """
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,19 +15,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drawn, held_out, table
+from .common import drawn, free_name, held_out, saved, table
 from .ftrl import FTRL, softmax, temperature
 
 FEATURES = 1 << 15
 NGRAMS = (1, 2, 3)
-#: The weights are fitted on so many labelled documents at most, as many of each language as there are.
-TRAIN_ROWS = 3000
+#: The weights are fitted on so many labelled documents at most, as many of each language as there are, and on
+#: so many feature values in all: what the driver holds is bounded, whatever the documents' length.
+TRAIN_ROWS, TRAIN_VALUES = 3000, 30_000_000
 EPOCHS = 3
 MAX_LANGUAGES = 1000
 #: `reject` drops documents whose best language has less than this probability.
 MIN_SCORE = 0.3
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +49,8 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether the text has a character of Unicode's category L; numerals such as ½ aren't."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -90,7 +90,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return df
 
 
-def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
+def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS, train_values: int = TRAIN_VALUES) -> Model:
     """A model of the rows (text, lang) whose lang isn't null and whose text has a letter.
 
     Other columns only tell equal texts apart when the sample is drawn.
@@ -116,7 +116,11 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCH
                 ["lang", "rank", "at", "counts"],
             )
 
-    got = sample.select("text", "lang", "rank").mapInArrow(run, "lang string, rank int, at array<int>, counts array<int>").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    found = sample.select("text", "lang", "rank").mapInArrow(run, "lang string, rank int, at array<int>, counts array<int>")
+    found = saved(found, "examples")
+    sizes = found.groupBy("rank").agg(F.sum(F.size("at")).alias("n")).toArrow().sort_by("rank")  # train_rows rows at most
+    last = max(2, int((np.cumsum(sizes["n"].to_numpy()) <= train_values).sum()))
+    got = found.where(F.col("rank") <= last).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     model = Model(languages, idf, np.zeros((FEATURES, len(languages)), np.float32))
     examples = []
     for a, c in zip(got["at"], got["counts"], strict=True):
@@ -136,7 +140,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` (text, any others) with lang_pred and score, the calibrated probability of that language.
 
     A null text, one without a letter, or a model that has learned no language gives `und` and 0. Equal
-    probabilities go to the first language by name. Columns lang_pred and score of `docs` are replaced.
+    probabilities go to the first language by name. Long texts count whole; repeated rows give repeated results;
+    an empty table gives an empty result. Columns lang_pred and score of `docs` are replaced.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages weights at most
@@ -154,9 +159,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of `docs`, their columns as they are, that have a language with at least `min_score`."""
-    told = identify(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model)
+    own = {c: free_name(c, [*docs.columns, "lang_pred", "score"]) for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    told = identify(docs.withColumnsRenamed(own), model)
     kept = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+    return kept.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def learnable(docs: DataFrame) -> DataFrame:
