@@ -1,6 +1,6 @@
 """Operator 8: a quality score by hashed word n-gram logistic regression.
 
-Two families of n-grams are hashed into one space: the words as they are, and their shapes (which kinds
+Two families of n-grams are hashed into one space: single words and pairs, and one to three shapes of words (which kinds
 of characters a word has, and whether it repeats the word before), which also cover words never seen.
 Trained with follow-the-regularised-leader updates on a bounded sample; scored as a sparse dot product.
 """
@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drawn, held_out, table
+from .common import drawn, held_out, saved, table
 from .ftrl import FTRL, Example
 
 FEATURES = 1 << 18
-#: The weights are fitted on so many labelled documents at most.
-TRAIN_ROWS = 8000
+#: The weights are fitted on so many labelled documents at most, and on so many feature values in all: what the
+#: driver holds is bounded, whatever the documents' length.
+TRAIN_ROWS, TRAIN_VALUES = 8000, 30_000_000
 EPOCHS = 3
 THRESHOLD = 0.7
 _BLANK = np.zeros(256, bool)
@@ -76,8 +77,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(values @ self.weights[at], -35, 35))))
 
 
-def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights learned from the rows (text, quality 0/1) of smallest hash; other labels are left out."""
+def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS, train_values: int = TRAIN_VALUES) -> np.ndarray:
+    """Weights learned from the rows (text, quality 0/1) of smallest hash; other labels are left out.
+
+    Rows count until one would bring the feature values over `train_values`. Equal rows count each; an empty
+    table gives weights of zero, and any text the score one half.
+    """
     rows = labelled.select("text", "quality").where(F.col("quality").isin(0, 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +93,13 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCH
                 ["quality", "h", "at", "values"],
             )
 
-    sample = rows.withColumn("h", F.xxhash64("text", "quality")).orderBy("h").limit(train_rows)
+    hashed = rows.withColumn("h", F.xxhash64("text", "quality"))
     kind = labelled.schema["quality"].dataType.simpleString()
-    got = sample.select("text", "quality", "h").mapInArrow(run, f"quality {kind}, h long, at array<int>, values array<float>").toArrow().sort_by("h")
+    found = saved(drawn(hashed, F.lit(hashed.count()), train_rows).mapInArrow(run, f"quality {kind}, h long, at array<int>, values array<float>"), "examples")
+    sizes = found.select("h", F.size("at").alias("n")).orderBy("h").limit(train_rows).toArrow()  # narrow rows
+    fit = int((np.cumsum(sizes["n"].to_numpy()) <= train_values).sum())
+    last = sizes["h"][fit - 1].as_py() if fit else -(1 << 63)
+    got = found.where(F.col("h") <= last).toArrow().sort_by("h")
     examples = [(a.values.to_numpy(), v.values.to_numpy().astype(float)) for a, v in zip(got["at"], got["values"], strict=True)]
     return FTRL(FEATURES, 1, l1=0.02).fit(examples, got["quality"].to_numpy().reshape(-1, 1).astype(float), epochs)[:, 0]
 
@@ -98,7 +107,8 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCH
 def rate(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """`docs` (text, any others) with score: the probability of quality 1, also for null and empty texts.
 
-    A column score of `docs` is replaced. Repeated rows give repeated results.
+    A column score of `docs` is replaced. Long texts count whole; repeated rows give repeated results; an empty
+    table gives an empty result.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(Model(weights))  # FEATURES weights
