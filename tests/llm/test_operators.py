@@ -478,6 +478,21 @@ def test_neighbours_in_dense_groups(spark):
         assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == wanted
 
 
+def test_neighbours_of_an_id_with_several_vectors(spark):
+    """The vector of the smallest direction counts, for queries and candidates."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    x[1:9] = x[0] + 0.01 * rng.normal(size=(8, 8))
+    ids = [0] * 7 + list(range(7, 40))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    turned = x.astype(float) / np.abs(x.astype(float)).max(1, keepdims=True)
+    own = min(range(7), key=lambda i: tuple(turned[i]))
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    wanted = sorted(range(7, 40), key=lambda b: (-round(float(u[own] @ u[b]), 9), b))[:5]
+    found = ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == wanted and [r["rank"] for r in found] == [1, 2, 3, 4, 5]
+
+
 def test_anisotropic_codes_keep_large_products():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16))
