@@ -185,7 +185,7 @@ def splits_at_blanks(spec: dict) -> bool:
     return plain and marks and spec.get("normalizer") == {"type": "Sequence", "normalizers": steps} and spec.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": cut}
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def text_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about PART_BYTES of text, of one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
@@ -210,7 +210,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch):
                 ids, ends = encoder.encode(pc.fill_null(part.column(1), "").cast(pa.string()))
                 ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
                 ends = ends + np.arange(1, len(ends) + 1)
