@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("simhash", "warc", "langid", "line_dedup", "ann", "decontaminate", "url_filter", "quality", "license_scan", "packing")
+MODULES = ("simhash", "warc", "langid", "line_dedup", "ann", "decontaminate", "url_filter", "quality", "license_scan", "packing", "divergence", "minhash", "alignment")
 
 
 def gather() -> tuple[dict, dict]:

@@ -45,6 +45,21 @@ def join_apart(rows: DataFrame, values: DataFrame, key: str, total: int) -> Data
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def join_salted(rows: DataFrame, values: DataFrame, key: str, counted: DataFrame, total: int) -> DataFrame:
+    """Inner join of `rows` with `values`, of one wide row a key, both shuffled.
+
+    `counted`: a stored table of the keys of `rows` (`total` of them) and other columns of them that tell rows apart. A
+    key of more than one in HOT_KEYS of the rows, of which there are fewer than HOT_KEYS, is dealt to so many parts that
+    each holds about that share, and its one value goes to each of them.
+    """
+    hot = counted.groupBy(key).count().where((F.col("count") * HOT_KEYS > total) & (F.col("count") > 1))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("count") * HOT_KEYS / F.lit(max(1, total))).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*counted.columns), parts).cast("int")).drop("__parts")
+    right = values.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """`name`, with underscores before it until no column of `taken` has it, in upper or lower case."""
     used = {c.lower() for c in taken}
