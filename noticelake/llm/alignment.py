@@ -25,7 +25,9 @@ from .packing import text_parts
 #: Links of the most frequent id pairs, so many at most, are counted beside the documents; all others by a join.
 HOT_PAIRS = 500_000
 #: A worker remembers pieces of about so many links, and counts about so many id pairs before it hands them on.
-CACHED_LINKS, COUNTED_PAIRS = 4_000_000, 1_000_000
+CACHED_LINKS, COUNTED_PAIRS = 2_000_000, 1_000_000
+#: Pieces encoded at a time, and bytes of texts aligned at a time.
+LEARNT, TEXT_BYTES = 8192, 2 << 20
 #: A single space between two of these characters starts a token in both tokenizers.
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
@@ -83,19 +85,32 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.groups: list[str | None] = []  # of each piece; none where the tokens don't give back its bytes
         self.counts = np.zeros((0, 5), np.int64)  # of each piece: tokens of A and B, groups, start and number of its links
-        self.links = np.zeros(0, np.uint64)
+        self.links, self.used = np.zeros(0, self.code_type), 0
 
     def tokens(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """A's and B's ids of each piece, and whether both give back a space and the piece."""
         a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
         b = self.b.encode(pieces, num_threads=1) if pieces else []
-        good = np.zeros(len(pieces), bool)
-        for i, (piece, x, y) in enumerate(zip(pieces, a, b, strict=True)):
-            raw = b" " + piece.encode()
-            good[i] = b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y))
+        raw = [b" " + p.encode() for p in pieces]
+        sizes = np.array(list(map(len, raw)), np.int64)
+        good = self._gives(a, self.bytes_a, self.sizes_a, raw, sizes) & self._gives(b, self.bytes_b, self.sizes_b, raw, sizes)
         return a, b, good
 
+    @staticmethod
+    def _gives(ids: list[list[int]], known: list[bytes], known_sizes: np.ndarray, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each list of ids are those in `raw`: all at once, or else one by one."""
+        flat = list(chain.from_iterable(ids))
+        ends = np.concatenate([[0], known_sizes[flat].cumsum()]) if flat else np.zeros(1, np.int64)
+        got = np.diff(ends[np.array(list(map(len, ids)), np.int64).cumsum()], prepend=0)
+        if (got == sizes).all() and b"".join(map(known.__getitem__, flat)) == b"".join(raw):
+            return np.ones(len(raw), bool)
+        return np.array([b"".join(map(known.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)], bool)
+
     def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), LEARNT):
+            self._learn_some(pieces[at : at + LEARNT])
+
+    def _learn_some(self, pieces: list[str]) -> None:
         a, b, good = self.tokens(pieces)
         kept = np.flatnonzero(good).tolist()
         n_a, n_b = (np.array([len(x[i]) for i in kept], np.int64) for x in (a, b))
@@ -106,49 +121,56 @@ class Aligner:
         group_ends = ends_a[last]
         cuts = np.union1d(ends_a, ends_b)  # between two cuts one token of each: a link
         links = ids_a[np.searchsorted(ends_a, cuts)].astype(np.uint64) * np.uint64(len(self.bytes_b)) + ids_b[np.searchsorted(ends_b, cuts)].astype(np.uint64)
+        links = links.astype(self.code_type)
         in_a, in_b = (np.searchsorted(e, group_ends, "right").tolist() for e in (ends_a, ends_b))
         text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
         shown = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *in_a], in_a, [0, *in_b], in_b, strict=False)]
         group_at, link_at = (np.concatenate([[0], np.searchsorted(e, closes, "right")]) for e in (group_ends, cuts))
         counts, groups = np.zeros((len(pieces), 5), np.int64), [None] * len(pieces)
-        counts[good] = np.stack([n_a, n_b, np.diff(group_at), len(self.links) + link_at[:-1], np.diff(link_at)], 1)
+        counts[good] = np.stack([n_a, n_b, np.diff(group_at), self.used + link_at[:-1], np.diff(link_at)], 1)
         for i, start, end in zip(kept, group_at[:-1].tolist(), group_at[1:].tolist(), strict=True):
             groups[i] = ";".join(shown[start:end])
         self.known |= zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True)
+        self.counts, self.links = _grown(self.counts, len(self.groups), counts), _grown(self.links, self.used, links)
+        self.used += len(links)
         self.groups += groups
-        self.counts = np.concatenate([self.counts, counts])
-        self.links = np.concatenate([self.links, links])
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, bytes]]:
         """(n_a, n_b, n_groups, n_links, digest of the groups, links as id of A x size of B + id of B) of each text."""
-        if len(self.links) > self.room or len(self.known) > self.room:
+        if self.used > self.room:
             self._forget()
         cut = [CUT.split(t) if t else [] for t in texts]
         self._learn(list(set(chain.from_iterable(cut)).difference(self.known)))
         for text, pieces in zip(texts, cut, strict=True):
             rows = list(map(self.known.__getitem__, pieces))
-            groups = list(map(self.groups.__getitem__, rows))
-            if None in groups:  # bytes that one piece's tokens lose, another's might add: then the whole text decides
-                if not self.tokens([text])[2][0]:
-                    rows = []
-                elif text not in self.known:
+            counts = self.counts[rows]
+            if not counts[:, 0].all():  # bytes that one piece's tokens lose, another's might add: then the whole text decides
+                if text not in self.known:
                     self._learn([text])
-                rows = [self.known[text]] if rows else rows
-                groups = list(map(self.groups.__getitem__, rows))
-            if not rows:
+                rows = [self.known[text]]
+                counts = self.counts[rows]
+            n_a, n_b, n_groups, _, n_links = counts.sum(0).tolist()
+            if not n_a:
                 yield 0, 0, 0, 0, "", b""
                 continue
-            counts = self.counts[rows]
-            n_a, n_b, n_groups, _, n_links = counts.sum(0).tolist()
+            groups = map(self.groups.__getitem__, rows)
             starts, sizes = counts[:, 3], counts[:, 4]
             at = np.repeat(starts - (sizes.cumsum() - sizes), sizes) + np.arange(n_links)
-            yield n_a, n_b, n_groups, n_links, hashlib.sha256(";".join(groups).encode()).hexdigest(), self.links[at].astype(self.code_type).tobytes()
+            yield n_a, n_b, n_groups, n_links, hashlib.sha256(";".join(groups).encode()).hexdigest(), self.links[at].tobytes()
 
     @property
     def code_type(self) -> str:
         return code_type(len(self.bytes_a), len(self.bytes_b))
 
 
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """`held`, of which `used` count, with `more` after these; room grows by half."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.zeros((used // 2 + len(more), *held.shape[1:]), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
 def code_type(size_a: int, size_b: int) -> str:
     return "<u4" if size_a * size_b <= 1 << 32 else "<u8"
 
@@ -222,7 +244,7 @@ def align(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | No
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
         for batch in batches:
-            for part in text_parts(batch):
+            for part in text_parts(batch, TEXT_BYTES):
                 found = list(aligner.align(part.column(1).to_pylist()))
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 columns = [pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)]

@@ -185,12 +185,12 @@ def splits_at_blanks(spec: dict) -> bool:
     return plain and marks and spec.get("normalizer") == {"type": "Sequence", "normalizers": steps} and spec.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": cut}
 
 
-def text_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about PART_BYTES of text, of one row at least."""
+def text_parts(batch: pa.RecordBatch, part_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about so many bytes of text, of one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + part_bytes, "right")))
         yield batch.slice(at, end - at)
         at = end
 
