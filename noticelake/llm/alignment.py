@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 from .packing import text_parts
 
 #: Links of the most frequent id pairs, so many at most, are counted beside the documents; all others by a join.
 HOT_PAIRS = 500_000
 #: A worker remembers pieces of about so many links, and counts about so many id pairs before it hands them on.
-CACHED_LINKS, COUNTED_PAIRS = 2_000_000, 1_000_000
-#: Pieces encoded at a time, and bytes of texts aligned at a time.
+CACHED_LINKS, COUNTED_PAIRS = 1_500_000, 500_000
+#: Pieces encoded, and bytes of texts aligned, at a time.
 LEARNT, TEXT_BYTES = 8192, 2 << 20
+#: Rows whose links are counted at a time.
+COUNTED_ROWS = 1000
 #: A single space between two of these characters starts a token in both tokenizers.
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
@@ -78,43 +80,41 @@ class Aligner:
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # an id and what follows it in the groups' text; the last of a piece ends a line
+        self.names = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"] + [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;\n"]
         self.room = cached_links
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: list[str | None] = []  # of each piece; none where the tokens don't give back its bytes
-        self.counts = np.zeros((0, 5), np.int64)  # of each piece: tokens of A and B, groups, start and number of its links
+        self.groups: list[str] = []  # of each piece
+        self.counts = np.zeros((0, 5), np.int64)  # of each piece: tokens of A and B, groups, start and number of its links; zeros where the tokens don't give back its bytes
         self.links, self.used = np.zeros(0, self.code_type), 0
 
-    def tokens(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """A's and B's ids of each piece, and whether both give back a space and the piece."""
+    def tokens(self, pieces: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """A's and B's ids of all pieces with how many each piece has, and whether both give back a space and the piece."""
         a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
         b = self.b.encode(pieces, num_threads=1) if pieces else []
-        raw = [b" " + p.encode() for p in pieces]
-        sizes = np.array(list(map(len, raw)), np.int64)
-        good = self._gives(a, self.bytes_a, self.sizes_a, raw, sizes) & self._gives(b, self.bytes_b, self.sizes_b, raw, sizes)
-        return a, b, good
-
-    @staticmethod
-    def _gives(ids: list[list[int]], known: list[bytes], known_sizes: np.ndarray, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """Whether the bytes of each list of ids are those in `raw`: all at once, or else one by one."""
-        flat = list(chain.from_iterable(ids))
-        ends = np.concatenate([[0], known_sizes[flat].cumsum()]) if flat else np.zeros(1, np.int64)
-        got = np.diff(ends[np.array(list(map(len, ids)), np.int64).cumsum()], prepend=0)
-        if (got == sizes).all() and b"".join(map(known.__getitem__, flat)) == b"".join(raw):
-            return np.ones(len(raw), bool)
-        return np.array([b"".join(map(known.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)], bool)
+        found = [(np.fromiter(chain.from_iterable(x), np.int64), np.array(list(map(len, x)), np.int64)) for x in (a, b)]
+        sizes = np.array(list(map(len, map(str.encode, pieces))), np.int64) + 1
+        raw = "".join(f" {p}" for p in pieces).encode()
+        ends, good = sizes.cumsum(), np.ones(len(pieces), bool)
+        for (ids, n), known, known_sizes in zip(found, (self.bytes_a, self.bytes_b), (self.sizes_a, self.sizes_b), strict=True):
+            got = np.concatenate([[0], known_sizes[ids].cumsum()])[n.cumsum()]
+            parts = list(map(known.__getitem__, ids.tolist()))
+            if (got == ends).all() and b"".join(parts) == raw:
+                continue
+            at = n.cumsum().tolist()  # else one by one
+            good &= [b"".join(parts[i:j]) == raw[k:m] for i, j, k, m in zip([0, *at], at, [0, *ends.tolist()], ends.tolist(), strict=False)]
+        return found, good
 
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), LEARNT):
             self._learn_some(pieces[at : at + LEARNT])
 
     def _learn_some(self, pieces: list[str]) -> None:
-        a, b, good = self.tokens(pieces)
-        kept = np.flatnonzero(good).tolist()
-        n_a, n_b = (np.array([len(x[i]) for i in kept], np.int64) for x in (a, b))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x[i] for i in kept), np.int64) for x in (a, b))
+        found, good = self.tokens(pieces)
+        (ids_a, n_a), (ids_b, n_b) = ((ids[np.repeat(good, n)], n[good]) for ids, n in found)
         ends_a, ends_b = self.sizes_a[ids_a].cumsum(), self.sizes_b[ids_b].cumsum()
         closes = np.concatenate([[0], ends_a])[n_a.cumsum()]  # the byte after each piece
         last = np.unique(terminals(successors(ends_a, ends_b)))  # a terminal token a group, in order: A's, as A wins ties
@@ -122,19 +122,29 @@ class Aligner:
         cuts = np.union1d(ends_a, ends_b)  # between two cuts one token of each: a link
         links = ids_a[np.searchsorted(ends_a, cuts)].astype(np.uint64) * np.uint64(len(self.bytes_b)) + ids_b[np.searchsorted(ends_b, cuts)].astype(np.uint64)
         links = links.astype(self.code_type)
-        in_a, in_b = (np.searchsorted(e, group_ends, "right").tolist() for e in (ends_a, ends_b))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        shown = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *in_a], in_a, [0, *in_b], in_b, strict=False)]
         group_at, link_at = (np.concatenate([[0], np.searchsorted(e, closes, "right")]) for e in (group_ends, cuts))
-        counts, groups = np.zeros((len(pieces), 5), np.int64), [None] * len(pieces)
+        counts, groups = np.zeros((len(pieces), 5), np.int64), [""] * len(pieces)
         counts[good] = np.stack([n_a, n_b, np.diff(group_at), self.used + link_at[:-1], np.diff(link_at)], 1)
-        for i, start, end in zip(kept, group_at[:-1].tolist(), group_at[1:].tolist(), strict=True):
-            groups[i] = ";".join(shown[start:end])
+        for i, shown in zip(np.flatnonzero(good).tolist(), self._shown(ids_a, ids_b, *(np.searchsorted(e, group_ends, "right") for e in (ends_a, ends_b)), group_at[1:] - 1), strict=True):
+            groups[i] = shown
         self.known |= zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True)
         self.counts, self.links = _grown(self.counts, len(self.groups), counts), _grown(self.links, self.used, links)
         self.used += len(links)
         self.groups += groups
 
+    def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, closing: np.ndarray) -> list[str]:
+        """The groups of each piece as text; in_a, in_b: where in the ids each group ends, closing: each piece's last group."""
+        if not len(closing):
+            return []
+        first_a, first_b = np.concatenate([[0], in_a[:-1]]), np.concatenate([[0], in_b[:-1]])
+        parts = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        mark_a, mark_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        mark_a[in_a - 1], mark_b[in_b - 1] = 1, 1
+        mark_b[in_b[closing] - 1] = 2
+        parts[np.arange(len(ids_a)) + np.repeat(first_b, in_a - first_a)] = 2 * ids_a + mark_a
+        parts[np.arange(len(ids_b)) + np.repeat(in_a, in_b - first_b)] = 2 * len(self.bytes_a) + 3 * ids_b + mark_b
+        return "".join(map(self.names.__getitem__, parts.tolist())).split("\n")[:-1]
+
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, bytes]]:
         """(n_a, n_b, n_groups, n_links, digest of the groups, links as id of A x size of B + id of B) of each text."""
         if self.used > self.room:
@@ -205,7 +215,7 @@ def pair_counts(aligned: DataFrame, kind: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _merged(codes, counts)], ["code", "n"])
 
-        for batch in batches:
+        for batch in slices(batches, COUNTED_ROWS):
             links, sizes = _column(batch, kind)
             if not len(links):
                 continue
@@ -274,7 +284,7 @@ def _counted(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, best = hot.value
-        for batch in batches:
+        for batch in slices(batches, COUNTED_ROWS):
             links, sizes = _column(batch, kind)
             at = np.minimum(np.searchsorted(codes, links), max(0, len(codes) - 1))
             found = codes[at] == links if len(codes) else np.zeros(len(links), bool)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 
 MIN_DOCUMENTS, TOP, SCALE = 3, 200, 1_000_000_000
 #: A partition hands its stripes on at about so many (source, term) entries.
@@ -80,12 +80,6 @@ def stripes(docs: DataFrame, groups: dict[tuple[bytes, bytes], int], languages:
     return docs.mapInArrow(run, "lang int, term binary, df long, groups array<int>, counts array<long>")
 
 
-def _slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def merged(folded: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """One stripe a (language, term) that enough documents have; sorted rows of one term are merged as they come."""
 
@@ -165,7 +159,7 @@ def divergences(kept: DataFrame, members: list[list[int]], totals: list[list[int
             sums.clear()
 
         widest = max(map(len, members))
-        for batch in _slices(batches, max(1, STEP_CELLS // widest)):
+        for batch in slices(batches, max(1, STEP_CELLS // widest)):
             keys = np.stack([batch.column(i).to_numpy() for i in (0, 4)], 1)
             for lang, block in np.unique(keys, axis=0).tolist():
                 part = batch.filter(pa.array((keys == [lang, block]).all(1)))
