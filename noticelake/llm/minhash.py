@@ -1,9 +1,10 @@
 """Operator 12: near duplicates by MinHash.
 
 A document's set of word shingles gives a signature of many minima, each of another universal hash. Documents of equal
-sets are one class. Classes whose signatures agree in a whole band of minima share a bucket. Within buckets, classes are
-first compared with a few leaders each, then, where components still differ, with all that is left: signatures first,
-then the full sets. Components of the links come from alternating large and small stars.
+sets are one class. Classes whose signatures agree in a whole band of minima share a bucket. Within a bucket all are
+compared with one leader: signatures first, then the full sets. Components of the links come from alternating large and
+small stars. Where a bucket then holds several components, classes outside of the largest are compared with all others,
+in blocks, on full sets: nothing is lost, and no group of copies becomes rows of pairs.
 """
 
 from collections.abc import Iterable, Iterator
@@ -25,10 +26,8 @@ DEVIATIONS = 6
 SEED = 42
 #: Shingles hashed at a time by all hash functions.
 STEP = 2048
-#: Leaders are followed by all pairs that are left once these are so many a bucket's member, or after so many rounds.
-LEFT_PAIRS, MAX_ROUNDS = 4, 8
-#: Members of a bucket that meet one member of another component in one task.
-BLOCK = 4096
+#: Shingles of a block of classes that meets another block in one task.
+BLOCK = 200_000
 _LAST = (1 << 63) - 1
 
 
@@ -142,77 +141,89 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(both * (100 + percent) >= (F.size("in_a") + F.size("in_b")) * percent).select("a", "b")
 
 
-def _open_buckets(member: DataFrame, turn: int) -> DataFrame:
-    """Of buckets that hold several components: n members, pairs `across` components, the largest component, four leaders.
+def _led(member: DataFrame) -> DataFrame:
+    """(a, b): each class of a bucket with the one that shares most buckets, stored; the original of many copies is such."""
+    weight = member.groupBy("key").agg(F.count("*").alias("weight"))  # a class is in `bands` buckets at most
+    lead = member.join(weight, "key").groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("weight", "key"))["key"].alias("leader"))
+    lead = saved(lead, "leaders")
+    met = join_apart(member, lead, "bucket", lead.agg(F.sum("n")).first()[0] or 0).where("key <> leader")
+    return saved(met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), "pairs")
 
-    Leaders are the smallest and largest keys in two orders that each turn has of its own, alike in all buckets.
+
+def _regions(member: DataFrame) -> DataFrame:
+    """(region, key, root), stored: of each bucket that still holds several components, the largest names the region of
+    all its classes. `member`: bucket, key, root, stored.
+    """
+    parts = member.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    found = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("region"))
+    found = saved(found.where("roots > 1").drop("roots"), "open")
+    held = join_apart(member, found, "bucket", found.agg(F.sum("n")).first()[0] or 0)
+    return saved(held.select("region", "key", "root").distinct(), "regions")
+
+
+def _overlaps(few: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of `few` the number of elements it shares with each of `others`, by inverted lists."""
+    owner = np.repeat(np.arange(len(others)), list(map(len, others)))
+    flat = np.concatenate(others)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for x in few:
+        start, end = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+        n = end - start
+        at = np.repeat(start - (n.cumsum() - n), n) + np.arange(n.sum())
+        yield np.bincount(owner[at], minlength=len(others))
+
+
+def _rest(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a region, one at least for every two that are linked.
+
+    Classes outside of the largest component meet all others of their region. Both are dealt to blocks of about BLOCK
+    shingles; every two blocks meet in one group, where inverted lists give the exact overlaps. No pair is a row.
     """
-    flips = np.random.default_rng(turn).integers(-(1 << 63), 1 << 63, 2).tolist()
-    orders = [F.col("key").bitwiseXOR(F.lit(f)) for f in flips]
-    ends = {f"{name}{i}": f(order).alias(f"{name}{i}") for i, order in enumerate(orders) for name, f in (("min", F.min), ("max", F.max))}
-    parts = member.groupBy("bucket", "root").agg(F.count("*").alias("c"), *ends.values())
-    n, squares = F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))
-    found = parts.groupBy("bucket").agg(
-        n.alias("n"), ((n.cast("double") * n - squares) / 2).alias("across"), F.max(F.struct("c", "root"))["root"].alias("main"),
-        F.count("*").alias("roots"), *[(F.min if e.startswith("min") else F.max)(e).alias(e) for e in ends],
-    )
-    leaders = F.array_distinct(F.array(*[F.col(e).bitwiseXOR(F.lit(flips[int(e[-1])])) for e in ends]))
-    return found.where("roots > 1").select("bucket", "n", "across", "main", leaders.alias("leaders"))
-
-
-def _led(member: DataFrame, open_: DataFrame, roots: DataFrame | None, total: int) -> DataFrame:
-    """Pairs of each open bucket's leaders with its members of other components."""
-    lead = open_.select("bucket", "n", F.explode("leaders").alias("leader"))
-    root = F.col("leader")
-    if roots is not None:
-        lead, root = lead.join(roots.withColumnsRenamed({"node": "leader", "root": "own"}), "leader", "left"), F.coalesce("own", "leader")
-    lead = lead.groupBy("bucket", "n").agg(F.collect_list(F.struct("leader", root.alias("own"))).alias("leaders"))  # four at most
-    met = join_apart(member, saved(lead, "leaders"), "bucket", total).select("key", "root", F.explode("leaders").alias("l"))
-    return _ordered(met.where(F.col("root") != F.col("l.own")).select(F.col("l.leader").alias("x"), F.col("key").alias("y")))
-
-
-def _left(member: DataFrame, open_: DataFrame, total: int) -> DataFrame:
-    """All pairs of an open bucket's members of different components; members are dealt to blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    held = saved(join_apart(member, open_.select("bucket", "n", "main", blocks), "bucket", total), "open")
-    few = held.where("root <> main").select("bucket", F.col("key").alias("x"), F.col("root").alias("rx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    block = F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block")
-    all_ = held.select("bucket", F.col("key").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("largest"), block)
-    return _ordered(few.join(all_, ["bucket", "block"]).where("rx <> ry AND (largest OR x < y)"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _needed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Only the sets that `pairs` name, so that a late turn with few pairs moves few sets."""
-    keys = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
-    return sets.join(keys, "key", "left_semi") if keys.count() * 2 < sets.count() else sets
-
-
-def links(member: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, minima: int) -> DataFrame | None:
-    """(node, root): the components of all classes that are linked; none if no classes share a bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, roots = (group.column(c).to_numpy() for c in ("key", "root"))
+        few, side = (group.column(c).to_numpy(zero_copy_only=False) for c in ("few", "probe"))
+        held = [x.values.to_numpy() for x in group.column("shingles")]
+        probes, others = np.flatnonzero(side), np.flatnonzero(~side)
+        a, b, joined = [], [], set()
+        if len(probes) and len(others):
+            sizes = np.array([len(held[i]) for i in others])
+            for i, both in zip(probes.tolist(), _overlaps([held[i] for i in probes], [held[i] for i in others]), strict=True):
+                linked = both * (100 + percent) >= (sizes + len(held[i])) * percent
+                linked &= (roots[others] != roots[i]) & (~few[others] | (keys[others] > keys[i]))
+                for j in others[linked].tolist():
+                    if (at := (roots[i], roots[j])) not in joined:
+                        joined.add(at)
+                        a.append(min(keys[i], keys[j]))
+                        b.append(max(keys[i], keys[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    few = F.col("root") != F.col("region")
+    rows = regions.join(sets, "key").select("region", "key", "root", few.alias("few"), "shingles")
+    size = F.size("shingles").cast("long")
+    blocks = [F.ceil(F.sum(x) / BLOCK).cast("int").alias(n) for x, n in ((size, "others"), (F.when(F.col("few"), size), "probes"))]
+    dealt = saved(rows.groupBy("region").agg(F.count("*").alias("n"), *blocks), "blocks")
+    rows = join_apart(rows, dealt, "region", dealt.agg(F.sum("n")).first()[0] or 0)
+
+    def sent(mine: str, all_: str) -> Column:  # the row's own block, with each of the other side's
+        own = F.pmod(F.xxhash64("key"), mine).cast("int").alias(mine)
+        return F.transform(F.sequence(F.lit(0), F.col(all_) - 1), lambda i: F.struct(F.lit(mine == "probes").alias("probe"), *((own, i.alias(all_)) if mine == "probes" else (i.alias(all_), own))))
+
+    to = F.concat(sent("others", "probes"), F.when(F.col("few"), sent("probes", "others")).otherwise(F.array()))
+    met = rows.select("region", "key", "root", "few", "shingles", F.explode(to).alias("to")).select("region", "key", "root", "few", "shingles", "to.*")
+    return met.groupBy("region", "probes", "others").applyInArrow(run, "a long, b long")
+
+
+def links(member: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, minima: int) -> DataFrame:
+    """(node, root): the components of all classes that are linked with others."""
     least = minima * percent / 100 - DEVIATIONS * (minima * percent * (100 - percent)) ** 0.5 / 100
-    found, roots = None, None
-    for turn in range(MAX_ROUNDS + 1):
-        now = member.withColumn("root", F.col("key"))
-        if roots is not None:
-            now = member.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        now = saved(now, "members")
-        open_ = saved(_open_buckets(now, turn), "open_buckets")
-        across, n = open_.agg(F.sum("across"), F.sum("n")).first()
-        if not across:
-            break
-        last = turn == MAX_ROUNDS or across <= LEFT_PAIRS * n
-        pairs = saved(_left(now, open_, n) if last else _led(now, open_, roots, n), "pairs")
-        near = saved(alike(pairs, classes, least), "alike")
-        good = saved(confirmed(near, _needed(sets, near), percent), "confirmed")
-        found = good if found is None else found.union(good)
-        roots = components(found.select("a", "b"))
-        if last:
-            break
-    return roots
+    near = saved(alike(_led(member), classes, least), "alike")
+    good = saved(confirmed(near, sets, percent), "confirmed")
+    roots = components(good)
+    now = member.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rest = saved(_rest(_regions(saved(now, "members")), sets, percent), "rest")
+    return components(good.union(rest)) if rest.count() else roots
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -230,11 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     member = buckets(classes, bands, rows)
     wanted = saved(classes.join(member.select("key").distinct(), "key").select("key", "did", "sig"), "wanted")
     sets = saved(full_sets(docs, wanted.select("did", "key"), words), "sets")
-    roots = links(member, wanted, sets, percent, bands * rows)
-    known = classes.select("key", "did", "n", F.col("key").alias("root"))
-    if roots is not None:
-        known = classes.select("key", "did", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = saved(known, "known")
+    roots = links(member, wanted, sets, percent, bands * rows).withColumnRenamed("node", "key")
+    known = saved(classes.select("key", "did", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "known")
     smallest = known.groupBy("root").agg(F.min("did").alias("least"), F.count("*").alias("n"))
     classes_of = saved(join_apart(known.withColumnRenamed("n", "held"), smallest, "root", known.count()).select("key", "least", F.col("held").alias("n")), "least")
     full = signed.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
@@ -252,7 +260,8 @@ ORACLE_SQL = {
     "op12_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS words
+                                    '[^ 	-
+]+') AS words
   FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]

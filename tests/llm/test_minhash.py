@@ -52,10 +52,9 @@ def test_against_sql(spark):
     check(spark, minhash.query, minhash.ORACLE_SQL["op12_minhash"])
 
 
-@pytest.mark.parametrize(("hot", "left", "rounds", "block"), [(1000, 4, 8, 4096), (3, 0, 3, 2), (3, 0, 0, 5), (2, 1, 8, 4096)])
-def test_near_duplicates(spark, monkeypatch, hot, left, rounds, block):
-    for name, value in (("LEFT_PAIRS", left), ("MAX_ROUNDS", rounds), ("BLOCK", block)):
-        monkeypatch.setattr(minhash, name, value)
+@pytest.mark.parametrize(("hot", "block"), [(1000, 200_000), (3, 300)])
+def test_near_duplicates(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(common, "HOT_KEYS", hot)
     rng = random.Random(5)
     texts = list(EDGE)
@@ -86,6 +85,13 @@ def test_no_links(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in (5, 40, 1, 30, 80)]
+    found = [x.tolist() for x in minhash._overlaps(sets[:3], sets)]
+    assert found == [[len(np.intersect1d(x, y)) for y in sets] for x in sets[:3]]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 64, 3000, np.uint64)
