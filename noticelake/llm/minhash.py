@@ -27,7 +27,7 @@ SEED = 42
 #: Shingles hashed at a time by all hash functions.
 STEP = 2048
 #: Shingles of a block of classes that meets another block in one task.
-BLOCK = 200_000
+BLOCK = 50_000
 _LAST = (1 << 63) - 1
 
 
