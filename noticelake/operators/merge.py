@@ -81,8 +81,9 @@ def merged_date(old: Column, old_source: Column, new: Column, new_source: Column
     return F.struct(F.when(takes, new).otherwise(old).alias("date"), F.when(takes, source).otherwise(old_source).alias("date_source"))
 
 
-def new_items(collected: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
-    return collected.join(known.select(key), key, "left_anti")
+def new_items(collected: DataFrame, known: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    keys = [key] if isinstance(key, str) else list(key)
+    return collected.join(known.select(*keys), keys, "left_anti")
 
 
 def merge_with_existing(existing: DataFrame, collected: DataFrame) -> DataFrame:

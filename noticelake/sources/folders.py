@@ -21,3 +21,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='noticelake-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/noticelake/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder or file of any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators import merge, notify
+from ..operators import merge, notify, quality
+from . import state
+
+#: Applied mutations are dealt to so many folders by account: a batch reads only those of its accounts.
+BUCKETS = 16
 
 
 def _stored(spark: SparkSession, folder: str, schema: str, before: int, drop: bool = True) -> DataFrame:
@@ -75,17 +79,34 @@ def notify_stream(items: DataFrame, subscriptions: DataFrame, folder: str, check
     return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain_outbox(mutations: DataFrame, owner: str | Column, folder: str, checkpoint: str, keys: tuple[str, ...] = ("user_id", "key")) -> StreamingQuery:
-    """Apply pending mutations (account_id, seq, id, user_id, key, ..., failed) in order up to an account's first failure, each id once.
+def drain_outbox(mutations: DataFrame, owner: str | Column, folder: str, checkpoint: str) -> StreamingQuery:
+    """Apply each account's mutations (account_id, seq, id, ..., failed) in order, each id once, to `folder`/applied.
 
-    `owner`: of all rows, or a column that names each row's.
+    A row is an attempt. A failed mutation stops its account: it and all after it wait, over any number of batches, until
+    an attempt of it succeeds; then the rest follows, in order. Waiting mutations are kept in `folder`/pending, where a
+    batch rewrites only the accounts that it has attempts of. A repeated attempt of what was applied changes nothing; of
+    several attempts in a batch one success is enough. `owner`: of all rows, or a column that names each row's.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        mine = merge.require_owner(batch, owner)
-        sent = merge.outbox_prefix(merge.dedupe_by_id(mine), "account_id")
-        schema = ", ".join(f"`{n}` {t}" for n, t in sent.dtypes)
-        _replace_batch(merge.new_items(sent, _stored(batch.sparkSession, folder, schema, number)), folder, number)
+        spark = batch.sparkSession
+        schema = ", ".join(f"`{n}` {t}" for n, t in batch.dtypes)
+        pending = state.KeyedState(spark, f"{folder}/pending", schema, "account_id")
+        mine = merge.require_owner(batch, owner).persist()
+        accounts = mine.select("account_id").distinct()
+        used = F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int")
+        done = _stored(spark, f"{folder}/applied", f"{schema}, bucket INT", number)
+        done = done.where(F.col("bucket").isin([r[0] for r in accounts.select(used).distinct().collect()]))  # BUCKETS at most
+        waiting = pending.read(number, accounts).unionByName(mine)
+        failed = waiting.groupBy("account_id", "id").agg(F.bool_and("failed").alias("failed"))
+        one = quality.first_by(waiting, ["account_id", "id"], F.col("seq"), F.to_json(F.struct(*waiting.columns))).drop("failed")
+        open_ = merge.new_items(one.join(failed, ["account_id", "id"]).select(*batch.columns), done, ["account_id", "id"]).persist()
+        sent = merge.outbox_prefix(open_, "account_id").withColumn("bucket", used)
+        sent.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/applied/batch={number}")
+        left = open_.join(sent.select("account_id", "id"), ["account_id", "id"], "left_anti")
+        pending.write(number, left, accounts)
+        mine.unpersist()
+        open_.unpersist()
 
     return mutations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
