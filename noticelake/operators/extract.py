@@ -1,5 +1,6 @@
 """Rows from page texts (X1-X13). Patterns run as native expressions; only what needs an element's ancestors parses HTML in tasks."""
 
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -72,21 +73,27 @@ def _tree(html: str | None) -> list[dict]:
     return parser.nodes
 
 
-def link_contexts(pages: DataFrame, levels: int = 4) -> DataFrame:
-    """(page_id, pos, href, texts): for each link the texts of itself and its next ancestors, `levels` in all."""
+def link_contexts(pages: DataFrame, pattern: str, levels: int = 4) -> DataFrame:
+    """(page_id, pos, href, texts): for each link the first match of `pattern` in its own text and in those of its next
+    ancestors, `levels` in all; empty where there is none. An element's text is searched once, whatever links it holds.
+    """
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = re.compile(pattern.replace(r"(?U:\d)", r"\d")).search  # digits of all scripts, as Python reads it
         for frame in frames:
             rows = []
             for page_id, html in zip(frame["page_id"], frame["html"], strict=True):
-                nodes = _tree(html)
-                links = [n for n in nodes if n["tag"] == "a" and n["attrs"].get("href") is not None]
+                nodes, known = _tree(html), {}
+                links = [i for i, n in enumerate(nodes) if n["tag"] == "a" and n["attrs"].get("href") is not None]
                 for pos, link in enumerate(links):
                     texts, node = [], link
                     while node is not None and len(texts) < levels:
-                        texts.append(" ".join(node["text"]))
-                        node = None if node["parent"] is None else nodes[node["parent"]]
-                    rows.append((page_id, pos, link["attrs"]["href"], texts))
+                        if node not in known:
+                            found = search(" ".join(nodes[node]["text"]))
+                            known[node] = found.group(0) if found else ""
+                        texts.append(known[node])
+                        node = nodes[node]["parent"]
+                    rows.append((page_id, pos, nodes[link]["attrs"]["href"], texts))
             yield pd.DataFrame(rows, columns=["page_id", "pos", "href", "texts"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, href string, texts array<string>")
@@ -94,7 +101,7 @@ def link_contexts(pages: DataFrame, levels: int = 4) -> DataFrame:
 
 def nearest_date(pages: DataFrame, today: Column) -> DataFrame:
     """(page_id, pos, href, near_date): the first date in the link's own text, else in the nearest ancestor that has a valid one."""
-    found = link_contexts(pages).withColumn("dates", F.transform("texts", lambda t: date_in(t, DATE, today)))
+    found = link_contexts(pages, DATE).withColumn("dates", F.transform("texts", lambda t: date_in(t, DATE, today)))
     return found.select("page_id", "pos", "href", F.get(F.filter("dates", lambda d: d.isNotNull()), 0).alias("near_date"))
 
 

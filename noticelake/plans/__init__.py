@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("search", "page_queries", "merge_queries", "routing_queries", "storage_queries")
+MODULES: tuple[str, ...] = ("search", "page_queries", "merge_queries", "routing_queries", "storage_queries", "stream_queries")
 
 
 def gather(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:
