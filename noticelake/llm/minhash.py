@@ -28,6 +28,8 @@ SEED = 42
 STEP = 2048
 #: Shingles of a block of classes that meets another block in one task.
 BLOCK = 50_000
+#: Classes (two longs each) that go to all tasks, so that no text is shuffled; more meet their texts by a shuffle.
+BROADCAST_CLASSES = 2_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -91,6 +93,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if _set_key(h) == key:  # not another text of that doc_id
                     yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([h.view(np.int64).tolist()], pa.list_(pa.int64()))], ["key", "shingles"])
 
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
     texts = docs.select(_did(), F.col("text").cast("binary").alias("text")).join(wanted, "did").select("key", "text")
     return texts.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
 
@@ -200,18 +204,18 @@ def _rest(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     few = F.col("root") != F.col("region")
-    rows = regions.join(sets, "key").select("region", "key", "root", few.alias("few"), "shingles")
-    size = F.size("shingles").cast("long")
-    blocks = [F.ceil(F.sum(x) / BLOCK).cast("int").alias(n) for x, n in ((size, "others"), (F.when(F.col("few"), size), "probes"))]
-    dealt = saved(rows.groupBy("region").agg(F.count("*").alias("n"), *blocks), "blocks")
-    rows = join_apart(rows, dealt, "region", dealt.agg(F.sum("n")).first()[0] or 0)
+    sized = regions.join(sets.select("key", F.size("shingles").cast("long").alias("size")), "key")  # no set moves yet
+    sized = saved(sized.select("region", "key", "root", few.alias("few"), "size"), "sized")
+    blocks = [F.ceil(F.sum(x) / BLOCK).cast("int").alias(n) for x, n in ((F.col("size"), "others"), (F.when(F.col("few"), F.col("size")), "probes"))]
+    dealt = saved(sized.groupBy("region").agg(F.count("*").alias("n"), *blocks), "blocks")
+    rows = join_apart(sized, dealt, "region", dealt.agg(F.sum("n")).first()[0] or 0)
 
     def sent(mine: str, all_: str) -> Column:  # the row's own block, with each of the other side's
         own = F.pmod(F.xxhash64("key"), mine).cast("int").alias(mine)
         return F.transform(F.sequence(F.lit(0), F.col(all_) - 1), lambda i: F.struct(F.lit(mine == "probes").alias("probe"), *((own, i.alias(all_)) if mine == "probes" else (i.alias(all_), own))))
 
     to = F.concat(sent("others", "probes"), F.when(F.col("few"), sent("probes", "others")).otherwise(F.array()))
-    met = rows.select("region", "key", "root", "few", "shingles", F.explode(to).alias("to")).select("region", "key", "root", "few", "shingles", "to.*")
+    met = rows.select("region", "key", "root", "few", F.explode(to).alias("to")).select("region", "key", "root", "few", "to.*").join(sets, "key")
     return met.groupBy("region", "probes", "others").applyInArrow(run, "a long, b long")
 
 

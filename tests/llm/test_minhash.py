@@ -55,6 +55,7 @@ def test_against_sql(spark):
 @pytest.mark.parametrize(("hot", "block"), [(1000, 200_000), (3, 300)])
 def test_near_duplicates(spark, monkeypatch, hot, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BROADCAST_CLASSES", 2_000_000 if hot == 1000 else 0)
     monkeypatch.setattr(common, "HOT_KEYS", hot)
     rng = random.Random(5)
     texts = list(EDGE)
