@@ -43,6 +43,53 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, folder: str |
     return visited
 
 
+def crawl(links: DataFrame, seeds: DataFrame, max_pages: int, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, bool]:
+    """A breadth-first walk of at most `max_pages` pages: ((node, depth, place), (item, referrer), hit_limit).
+
+    links: src, dst, pos (of a link in its page). seeds: node, pos. Pages are taken as a queue would: all of a depth
+    before the next, by the place of the first page that links to them, then by that page's first link to them. place:
+    from 0, in that order. found: page, item, pos: each item's first referrer is the first visited page that has it.
+    hit_limit: whether the cap was reached, also when nothing was left. Self links and repeated links change nothing.
+
+    A level is one join; its order comes from a global sort, whose partitions are numbered by their sizes, so no level is
+    one task's work. Levels are checkpointed: a lost executor costs one.
+    """
+    spark = links.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(work_dir(spark, "graph"))
+    links = links.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    ranked = seeds.groupBy("node").agg(F.struct(F.lit(0).cast("long").alias("place"), F.min("pos").cast("long").alias("pos")).alias("key"))
+    level = _placed(ranked, 0, 0, max_pages)
+    visited, depth, n = level, 0, level.count()
+    while n < max_pages:
+        depth += 1
+        step = level.join(links, level["node"] == links["src"]).groupBy(F.col("dst").alias("node"))
+        step = step.agg(F.min(F.struct("place", F.col("pos").cast("long").alias("pos"))).alias("key"))
+        level = _placed(step.join(visited.select("node"), "node", "left_anti"), depth, n, max_pages)
+        more = level.count()
+        if not more:
+            break
+        visited, n = visited.unionByName(level), n + more
+    if found is None:
+        return visited, None, n >= max_pages
+    held = found.join(visited.select(F.col("node").alias("page"), "place"), "page")
+    return visited, held.groupBy("item").agg(F.min_by("page", "place").alias("referrer")), n >= max_pages
+
+
+def _placed(rows: DataFrame, depth: int, first: int, max_pages: int) -> DataFrame:
+    """(node, depth, place), checkpointed: `rows` (node, key) numbered from `first` in order of key, up to `max_pages`."""
+    ordered = rows.orderBy("key", "node").select("node", F.monotonically_increasing_id().alias("at")).checkpoint()
+    part = F.shiftright("at", 33)  # the number of the sorted partition; below it the row's number in it
+    sizes = ordered.groupBy(part.alias("part")).count().collect()  # a row a partition
+    before, total = [], first
+    for row in sorted(sizes, key=lambda r: r["part"]):
+        before += [F.lit(row["part"]), F.lit(total)]
+        total += row["count"]
+    start = F.element_at(F.create_map(*before), part) if before else F.lit(0)
+    inside = F.col("at") - F.shiftleft(part, 33)
+    return ordered.select("node", F.lit(depth).alias("depth"), (start + inside).cast("long").alias("place")).where(F.col("place") < max_pages)
+
+
 def census_diff(live: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, side): ids that only one side has, and those of both."""
     sides = live.select("id").distinct().withColumn("s", F.lit(1)).union(stored.select("id").distinct().withColumn("s", F.lit(2)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import COMMON_TITLE_MIN_PAGES, MAX_ITEMS
 from ..functions.text import empty_as_null, is_mojibake
+from ..sources.folders import work_dir
 
 
 def check_keys(items: DataFrame) -> DataFrame:
@@ -139,6 +140,34 @@ def redundant_pages(pairs: DataFrame) -> DataFrame:
     return page_overlap(pairs).where("exclusive = 0").select("page")
 
 
+def cover_pages(pairs: DataFrame) -> DataFrame:
+    """(page, turn, gain): pages of (page, article) that together have all articles, as a greedy walk chooses them.
+
+    The walk takes again and again the page with most articles that no page before it has, of equal gain the smaller
+    page. A page whose gain beats that of every page it shares an open article with is taken whatever happens elsewhere,
+    so each turn takes all such pages at once: the same pages with the same gains, in few turns. Ordered by gain downwards,
+    then page, they are the walk's order. Covered articles leave, and a turn ends in a checkpoint.
+    """
+    spark = pairs.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(work_dir(spark, "cover"))
+    open_, chosen, turn = pairs.select("page", "article").distinct().checkpoint(), None, 0
+    while not open_.isEmpty():
+        gains = open_.groupBy("page").agg(F.count("*").alias("gain"))
+        # per article the best page that has it; a page that is the best of all its articles beats all competitors
+        rank = F.struct((-F.col("gain")).alias("g"), F.col("page").alias("p"))
+        held = open_.join(gains, "page")
+        best = held.groupBy("article").agg(F.min(rank).alias("best"))
+        wins = held.join(best, "article").groupBy("page", "gain").agg(F.bool_and(F.col("best.p") == F.col("page")).alias("all")).where("all")
+        wins = wins.select("page", "gain", F.lit(turn).alias("turn")).checkpoint()
+        chosen = wins if chosen is None else chosen.unionByName(wins)
+        covered = open_.join(wins.select("page"), "page").select("article").distinct()
+        open_, turn = open_.join(covered, "article", "left_anti").checkpoint(), turn + 1
+    if chosen is None:
+        return pairs.select("page", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("gain")).limit(0)
+    return chosen.select("page", "turn", "gain")
+
+
 def first_by(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row a key: the first in `order`."""
     n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
