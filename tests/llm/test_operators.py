@@ -290,26 +290,44 @@ def test_decontamination(spark):
     ]
     rows = decontaminate.contaminated(docs(spark, texts), bench).collect()
     found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_exact"]) for r in rows}
-    assert found[0, 1] == (12, 12) and found[1, 1] == (12, 0)
+    assert found[0, 1] == (12, 13) and found[1, 1] == (12, 0)
     assert 0 < found.pop((2, 1))[0] < 12
-    assert {k: v for k, v in found.items() if k[1] != 1} == {(7, 5): (1, 1), (8, 5): (1, 0), (11, 6): (2, 2), (13, 7): (1, 0), (14, 5): (1, 1)}
-    assert set(found) - {(0, 1), (1, 1)} == {(7, 5), (8, 5), (11, 6), (13, 7), (14, 5)}
+    assert {k: v for k, v in found.items() if k[1] != 1} == {(7, 5): (1, 1), (8, 5): (1, 0), (11, 6): (0, 2), (12, 3): (0, 1), (13, 7): (1, 0), (14, 5): (1, 1)}
+    assert set(found) - {(0, 1), (1, 1)} == {(7, 5), (8, 5), (11, 6), (12, 3), (13, 7), (14, 5)}
     left = {r["doc_id"] for r in decontaminate.clean_documents(docs(spark, texts).withColumn("bad", F.lit(1)), bench).collect()}
-    assert left == set(range(15)) - {0, 1, 2, 7, 8, 11, 13, 14}
+    assert left == set(range(15)) - {0, 1, 2, 7, 8, 11, 12, 13, 14}
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 == decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_drops_no_item(spark, monkeypatch, limit):
+    """Items of one or two words, items of few words but numbers, copies in another case."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    long = "Alice walked 3 miles to Denver on Monday and then New York City was far away"
+    slots = "Anna 12 Paris met 7 Bell 3 London 5 Rome 6"  # no window of it has four words
+    items = ["Why?", "Define entropy", "What is 12 + 7?", "Compute 15 minus 4", long, slots, "Is 5 more than 5?", "?!", "Paris 1900 Rome"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = {
+        "He left. Why? Nobody knows.": {0}, "That is why we left": set(), "Define entropy": {1}, "DEFINE ENTROPY! And more": {1}, "We define entropy as disorder": set(),
+        "What is 15 + 8?": {2}, "what is 8 + 8?": set(), "Please: Compute 19 minus 6.": {3}, long.lower(): {4}, "so " + long.upper() + " again": {4},
+        "Carla 90 Madrid met 4 Berg 2 Oslo 8 Bern 1": {5}, "Carla 90 Madrid met 4 Berg": set(), "is 6 more than 6": {6}, "is 6 more than 7": set(), "Oslo 1950 Bern": set(), "in paris 1900 rome": {8}, "?!": set(),
+    }
+    found = decontaminate.contaminated(docs(spark, list(texts)), bench).collect()
+    assert {t: {r["item_id"] for r in found if r["doc_id"] == i} for i, t in enumerate(texts)} == texts
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_decontamination_against_sql(spark, tmp_path, monkeypatch, limit):
     """Broadcast and shuffled windows, items of all lengths, against the query's SQL."""
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
     rng = random.Random(6)
     words = ["the", "sum", "of", "Anna", "Bell", "Paris", "12", "7", "seven", "kg", "km", "is", "What", "and", "1,5", "Über", "$", "%"]
-    items = [(i, t) for i, (_, t) in enumerate(ITEMS)] + [(100 + i, " ".join(rng.choices(words, k=rng.randint(1, 14)))) for i in range(40)]
+    items = [(i, t) for i, (_, t) in enumerate([*ITEMS, (0, "Why?"), (0, "Define entropy"), (0, "What is 12 + 7?")])] + [(100 + i, " ".join(rng.choices(words, k=rng.randint(1, 14)))) for i in range(40)]
     texts = [*(t for t in EDGE if len(t or "") < 999), *(" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(60))]
     for i in range(60):
         new = [rng.choice(words) if rng.random() < 0.1 else w for w in str(items[i % len(items)][1]).split(" ")]
         texts.append("so " + " ".join(new) + rng.choice([".", " " + BENCH, ""]))
+        texts.append(rng.choice([str.upper, str.lower])(rng.choice(["", "x. "]) + " ".join(new)))
     docs(spark, texts, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     db = duckdb.connect()
