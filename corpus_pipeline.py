@@ -55,7 +55,7 @@ STAGES = [
     ("decontamination", decontaminated),
     ("packing", packed),
 ]
-#: Trained and packed stages have no SQL; tests hold them against brute-force versions.
+#: Trained and packed stages have no SQL. Tests hold the operators against brute-force versions, and the whole run by its sums and edge rows.
 ORACLE_SQL = None
 
 

@@ -31,7 +31,7 @@ def subscription_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4 at scale: the first lines of benchmark items as keywords of documents, by shared 3-grams where there are many."""
+    """J4 at scale: the first lines of benchmark items as keywords of documents, by an anchor word of each."""
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.split_part("text", F.lit(". "), F.lit(1)).alias("keyword"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     return routing.keyword_match(docs, words, "doc_id").select("doc_id", "item_id")
