@@ -14,6 +14,8 @@ from ..functions.fixed_values import (
 from ..functions.text import clean_text, contains_any, date_in, empty_as_null, html_unescape, normalize_url, origin, resolve_url, strip_tags
 from .quality import first_by
 
+#: An ampersand that begins no reference with a semicolon, as where a text was cut: it is plain text, as in `html_unescape`.
+_BARE_AMPERSAND = re.compile(r"&(?!#?\w+;)")
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
 
 
@@ -142,7 +144,7 @@ def article_snippets(pages: DataFrame) -> DataFrame:
 
     def snippet(html: str | None) -> str | None:
         parser = Body()
-        parser.feed(html or "")
+        parser.feed(_BARE_AMPERSAND.sub("&amp;", html or ""))
         parser.close()
         body = next((n for want in wanted for n in parser.nodes if want(n)), None)
         if body is None:

@@ -86,3 +86,11 @@ def test_article_body(spark):
     html = "<div>long long long long text</div><div class='a meditor'>Body <b>text</b><script>no</script></div>"
     pages = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
     assert {r["page_id"]: r["snippet"] for r in extract.article_snippets(pages).collect()} == {1: "Body text", 2: None}
+
+
+def test_article_body_keeps_cut_references(spark):
+    """What has no semicolon is text, as in the patterned snippet."""
+    html = "<article><h1>A&amp;&amp</h1><p>B &lt; C&lt &#39;d&#39 &copy e & f&nbsp;g</p></article>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    (row,) = extract.article_snippets(pages).collect()
+    assert row["snippet"] == one(spark, extract.page_snippet(F.col("h")), h=html) == "A&&amp B < C&lt 'd&#39 &copy e & f g"
