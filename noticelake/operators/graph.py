@@ -26,12 +26,13 @@ def same_site(url: Column, base: Column, suffix: str = "") -> Column:
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, folder: str | None = None) -> DataFrame:
     """(node, depth): the nodes reached from the seeds (node) over edges (src, dst), with their least depth.
 
-    One join a level; each frontier is checkpointed, so plans stay short and lost executors cost one level.
+    One join a level; each frontier is checkpointed, so plans stay short and lost executors cost one level. Repeated
+    edges stay: each level makes its nodes distinct, so no task keeps a table of edges.
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder or work_dir(spark, "graph"))
-    edges = edges.select("src", "dst").distinct()
+    edges = edges.select("src", "dst")
     frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     visited = frontier
     for depth in range(1, max_depth + 1):

@@ -110,7 +110,7 @@ def near_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers reachable from the first one over shared parts, in three steps."""
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     edges = pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     edges = edges.union(edges.select(F.col("dst"), F.col("src")))
     return graph.reachable(edges, pairs.agg(F.concat(F.lit("s"), F.min("l_suppkey")).alias("node")), 3)

@@ -54,3 +54,13 @@ def test_cover(spark):
     assert sorted(((r["page"], r["gain"]) for r in found), key=lambda x: (-x[1], x[0])) == greedy(pairs)
     assert max(r["turn"] for r in found) < len(found) - 1
     assert quality.cover_pages(spark.createDataFrame([], "page int, article int")).count() == 0
+
+
+def test_reachable_keeps_no_table_of_edges(spark, monkeypatch):
+    """Repeated edges change nothing, and only nodes are made distinct."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "src string, dst string")
+    distinct, seen = type(edges).distinct, []
+    monkeypatch.setattr(type(edges), "distinct", lambda df: seen.append(df.columns) or distinct(df))
+    found = graph.reachable(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()
+    assert sorted(map(tuple, found)) == [("a", 0), ("b", 1), ("c", 2)]
+    assert seen and ["src", "dst"] not in seen
