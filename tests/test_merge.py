@@ -265,3 +265,18 @@ def test_popular_keyword_grows_with_its_subscribers(spark, tmp_path):
     counts = notify.candidate_counts(*runs.delivered(spark, f"{tmp_path}/w"), ["batch"])
     assert counts.agg(F.count("*"), F.min("n"), F.max("n"), F.max("first_id")).first() == (3000, 3000, 3000, "i0")
     assert runs.latest_state(spark, f"{tmp_path}/w").where((F.size("notified_ids") == 500) & (F.get("notified_ids", 0) == "i2500")).count() == 3000
+
+
+def test_ordered_exports_are_no_single_task(spark, tmp_path):
+    """Files by name give the order; there are several, so the whole isn't sorted in one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        feed = spark.range(400).select(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7 % 50).cast("int")), "yyyy-MM-dd").alias("date"), F.col("id").cast("string").alias("uid"))
+        writers.write_calendar_feed(feed, f"{tmp_path}/feed")
+        writers.write_coverage_gaps(feed.select(F.col("uid").cast("long").alias("count"), F.col("date").alias("cat_ref"), F.lit("s").alias("school")), f"{tmp_path}/gaps")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, key in (("feed", lambda r: (r["date"], r["uid"])), ("gaps", lambda r: -r["count"])):
+        files = sorted((tmp_path / name).glob("part-*.json"))
+        rows = [json.loads(line) for f in files for line in f.read_text().splitlines()]
+        assert len(files) > 1 and len(rows) == 400 and rows == sorted(rows, key=key)
