@@ -54,7 +54,7 @@ class KeyedState:
         """All rows of the touched `keys` (one column, distinct); keys without rows have none from now on."""
         left = keys.join(rows.select(self.key).distinct(), self.key, "left_anti").withColumn("__gone", F.lit(True))
         all_ = rows.select(*self.names).withColumn("__gone", F.lit(False)).unionByName(left, allowMissingColumns=True)
-        all_.withColumn("__bucket", self._bucket()).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder}/log/__batch={batch}")
+        all_.withColumn("__bucket", self._bucket()).hint("rebalance", F.col("__bucket")).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder}/log/__batch={batch}")
 
     def compact(self, through: int) -> None:
         """Fold all batches up to `through` into one base, then delete them; to be called while no batch runs."""

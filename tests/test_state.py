@@ -97,3 +97,15 @@ def test_keyed_state(spark, tmp_path):
     assert [n for n in os.listdir(f"{tmp_path}/base") if n.startswith("__batch")] == ["__batch=2"]
     log.write(3, rows(("a", 9)), keys("a"))
     assert held(log, 4) == [("a", 9), ("d", 5)]
+
+
+def test_batches_write_few_files(spark, tmp_path):
+    """A folder of accounts gets one file a batch while it is small, whatever number of tasks has rows of it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        drain(spark, tmp_path, [[(f"a{i}", n, f"m{n}", n == 2) for i in range(60) for n in range(4)]])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for folder, row in ((tmp_path / "out/applied/batch=0", 120), (tmp_path / "out/pending/log/__batch=0", 120)):
+        assert all(len(list(f.glob("*.parquet"))) == 1 for f in folder.iterdir() if f.is_dir())
+        assert spark.read.parquet(str(folder)).count() == row
