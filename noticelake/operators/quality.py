@@ -1,6 +1,7 @@
 """Data-quality checks and audit aggregates."""
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import COMMON_TITLE_MIN_PAGES, MAX_ITEMS
 from ..functions.text import empty_as_null, is_mojibake
-from ..sources.folders import work_dir
+from ..sources.folders import delete, work_dir
+
+#: Of the largest gain: the pages with so much compete before the others are looked at. See `cover_pages`.
+COVER_SHARE = 0.8
 
 
 def check_keys(items: DataFrame) -> DataFrame:
@@ -140,32 +144,56 @@ def redundant_pages(pairs: DataFrame) -> DataFrame:
     return page_overlap(pairs).where("exclusive = 0").select("page")
 
 
+def _cover_turn(held: DataFrame, least: int) -> DataFrame:
+    """(page, gain, article, win) of the pairs (page, article) whose page still has `least` articles: whether it beats every
+    page it shares one with.
+    """
+    counted = held.select("page", "article", F.count("*").over(W.partitionBy("page")).alias("gain")).where(F.col("gain") >= least)
+    rank = F.struct((-F.col("gain")).alias("g"), F.col("page").alias("p"))
+    best = counted.withColumn("best", F.min(rank).over(W.partitionBy("article"))["p"] == F.col("page"))
+    return best.select("page", "gain", "article", F.min("best").over(W.partitionBy("page")).alias("win"))
+
+
 def cover_pages(pairs: DataFrame) -> DataFrame:
     """(page, turn, gain): pages of (page, article) that together have all articles, as a greedy walk chooses them.
 
     The walk takes again and again the page with most articles that no page before it has, of equal gain the smaller
     page. A page whose gain beats that of every page it shares an open article with is taken whatever happens elsewhere,
     so each turn takes all such pages at once: the same pages with the same gains, in few turns. Ordered by gain downwards,
-    then page, they are the walk's order. Covered articles leave, and a turn ends in a checkpoint.
+    then page, they are the walk's order. Pages of small gain can't beat those of large gain: turns look at the pairs of pages
+    with COVER_SHARE of the largest gain only, until none has that much; then covered articles leave the table, and the next
+    largest gain is sought. Pairs without a page or an article are left out.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(work_dir(spark, "cover"))
-    open_, chosen, turn = pairs.select("page", "article").distinct().checkpoint(), None, 0
-    while not open_.isEmpty():
+    spark, root = pairs.sparkSession, work_dir(pairs.sparkSession, "cover")
+    column = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    pair = f"page {column['page']}, article {column['article']}"
+    pairs.select("page", "article").dropna().distinct().write.parquet(f"{root}/open-0")
+    open_, phase, turn = spark.read.schema(pair).parquet(f"{root}/open-0"), 0, 0
+    told = lambda path: spark.read.schema(f"{pair}, gain LONG, turn INT, win BOOLEAN").parquet(path)
+    while True:
         gains = open_.groupBy("page").agg(F.count("*").alias("gain"))
-        # per article the best page that has it; a page that is the best of all its articles beats all competitors
-        rank = F.struct((-F.col("gain")).alias("g"), F.col("page").alias("p"))
-        held = open_.join(gains, "page")
-        best = held.groupBy("article").agg(F.min(rank).alias("best"))
-        wins = held.join(best, "article").groupBy("page", "gain").agg(F.bool_and(F.col("best.p") == F.col("page")).alias("all")).where("all")
-        wins = wins.select("page", "gain", F.lit(turn).alias("turn")).checkpoint()
-        chosen = wins if chosen is None else chosen.unionByName(wins)
-        covered = open_.join(wins.select("page"), "page").select("article").distinct()
-        open_, turn = open_.join(covered, "article", "left_anti").checkpoint(), turn + 1
-    if chosen is None:
+        top = gains.agg(F.max("gain")).first()[0]
+        if top is None:
+            break
+        least = ceil(top * COVER_SHARE)
+        held, last = open_.join(gains.where(F.col("gain") >= least).select("page"), "page", "left_semi"), None
+        while True:
+            path = f"{root}/told/phase={phase}/turn={turn}"
+            _cover_turn(held, least).write.partitionBy("win").parquet(path)
+            if last:
+                delete(spark, f"{last}/win=false")
+            now, last, turn = told(path), path, turn + 1
+            held = now.where("NOT win").join(now.where("win").select("article"), "article", "left_anti")
+            if now.where("NOT win").isEmpty():
+                break
+        # only pairs of pages that were taken are left there: each covered article once
+        open_.join(told(f"{root}/told/phase={phase}").select("article"), "article", "left_anti").write.parquet(f"{root}/open-{phase + 1}")
+        delete(spark, f"{root}/open-{phase}")
+        phase += 1
+        open_ = spark.read.schema(pair).parquet(f"{root}/open-{phase}")
+    if not turn:
         return pairs.select("page", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("gain")).limit(0)
-    return chosen.select("page", "turn", "gain")
+    return told(f"{root}/told").groupBy("page").agg(F.any_value("turn").alias("turn"), F.any_value("gain").alias("gain"))
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -56,6 +56,18 @@ def test_cover(spark):
     assert quality.cover_pages(spark.createDataFrame([], "page int, article int")).count() == 0
 
 
+def test_cover_looks_at_large_gains_first(spark, monkeypatch):
+    """Turns over large pages hold no pairs of small ones; pairs without a page or an article change nothing."""
+    chain = [(f"big{i:02}", 100 * i + j) for i in range(12) for j in range(102 - i)]  # neighbours share articles
+    small = [(f"s{i:03}", 5000 + i // 3) for i in range(600)] + [(f"t{i:03}", i) for i in range(600)]
+    pairs, turn, held = chain + small, quality._cover_turn, []
+    monkeypatch.setattr(quality, "_cover_turn", lambda df, least: held.append(df.count()) or turn(df, least))
+    odd = [(None, 1), ("big00", None), (None, None), ("only null", None), chain[0]]
+    found = quality.cover_pages(spark.createDataFrame(pairs + odd, "page string, article long")).collect()
+    assert sorted(((r["page"], r["gain"]) for r in found), key=lambda x: (-x[1], x[0])) == greedy(pairs)
+    assert max(held) <= len(chain) and sum(held) < 2 * len(pairs)
+
+
 def test_reachable_keeps_no_table_of_edges(spark, monkeypatch):
     """Repeated edges change nothing, and only nodes are made distinct."""
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "src string, dst string")
